@@ -7,8 +7,6 @@ whole given tables.  Column names and types match the oracle SQL.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,21 +14,7 @@ from ..operators import validate as V
 from . import derived as D
 from . import oracle as O
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(key: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[key] = fn
-        if sql is not None:
-            ORACLE[key] = sql
-        return fn
-    return deco
-
-
-def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.validate_lines(V.rule_join(D.doc_lines(spark, sf_dir), D.run_rules(spark)))
+from .registry import ORACLE, QUERIES, register, validated  # noqa: F401
 
 
 # --------------------------------------------------------------------------
@@ -65,3 +49,7 @@ SELECT batch_id, file_name, count(*) AS line_count,
                   failed="bool_or(coalesce(tab_severity = 'CRITICAL', FALSE))")} AS data_quality_status
 FROM v GROUP BY batch_id, file_name
 """)(batch_quality_report)
+
+
+# the other query families register themselves on import
+from . import q_lines  # noqa: E402,F401

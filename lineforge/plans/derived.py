@@ -154,4 +154,44 @@ def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as PM4-shaped pin lines ``block(5) TAB pin(4) TAB block TAB pin``.
+
+    Line 1 of each order has an empty pin, line 2 a blank (4 spaces) pin, so
+    both pin fixes have lines to repair.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    pad = lambda c, n: F.lpad((c).cast("string"), n, "0")
+    pin = F.when(F.col("l_linenumber") == 1, F.lit("")) \
+        .when(F.col("l_linenumber") == 2, F.lit("    ")) \
+        .otherwise(pad(F.col("l_partkey") % 10000, 4))
+    line = F.concat_ws("\t", pad(F.col("l_orderkey") % 100000, 5), pin,
+                       pad(F.col("l_suppkey") % 100000, 5), pad(F.col("l_linenumber"), 4))
+    return li.select(F.col("l_orderkey").cast("string").alias("batch_id"),
+                     F.col("l_linenumber").cast("long").alias("line_number"), line.alias("line"))
+
+
+def im2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customer ⋈ orders`` as IM2-shaped lines with padding and zero dates.
+
+    Keys ending in 0 or 5 carry ``0000/00/00``, keys ending in 1 or 6 a
+    blank date, the rest ``yyyy/MM/dd``; codes and names carry spaces.
+    """
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
+                                              "o_orderpriority")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    k = F.col("o_orderkey") % 5
+    day = F.when(k == 0, F.lit("0000/00/00")).when(k == 1, F.lit(" ")) \
+        .otherwise(F.date_format("o_orderdate", "yyyy/MM/dd"))
+    line = F.concat_ws(
+        "\t", F.lpad(F.col("c_nationkey").cast("string"), 2, "0"),
+        F.rpad(F.col("o_orderkey").cast("string"), 10, " "), F.col("o_orderstatus"), day,
+        F.rpad(F.substring("c_mktsegment", 1, 3), 6, " "), F.col("c_name"),
+        F.concat(F.lit(" "), F.substring("o_orderpriority", 1, 1)), F.lit(" 1/2 "),
+        F.concat(F.lit("  "), F.col("c_name"), F.lit("  ")))
+    return j.select(F.col("o_custkey").cast("string").alias("batch_id"),
+                    F.col("o_orderkey").cast("long").alias("line_number"), line.alias("line"))
+
+
 KNOWN = schemas.KNOWN_TABLES

@@ -179,3 +179,56 @@ def quality_case(c: str, w: str, e: str, failed: str | None = None, current: str
 def base_ctes() -> str:
     """rules + lines + validation CTEs over documents."""
     return f"rules AS ({run_rules_sql()}),\nlines AS ({DOC_LINES}),{validated_ctes()}"
+
+
+PIN_LINES = """
+SELECT CAST(l_orderkey AS VARCHAR) AS batch_id, CAST(l_linenumber AS BIGINT) AS line_number,
+  concat_ws(chr(9), lpad(CAST(l_orderkey % 100000 AS VARCHAR), 5, '0'),
+    CASE WHEN l_linenumber = 1 THEN '' WHEN l_linenumber = 2 THEN '    '
+         ELSE lpad(CAST(l_partkey % 10000 AS VARCHAR), 4, '0') END,
+    lpad(CAST(l_suppkey % 100000 AS VARCHAR), 5, '0'), lpad(CAST(l_linenumber AS VARCHAR), 4, '0')) AS line
+FROM lineitem
+"""
+
+IM2_LINES = """
+SELECT CAST(o_custkey AS VARCHAR) AS batch_id, CAST(o_orderkey AS BIGINT) AS line_number,
+  concat_ws(chr(9), lpad(CAST(c_nationkey AS VARCHAR), 2, '0'), rpad(CAST(o_orderkey AS VARCHAR), 10, ' '),
+    o_orderstatus,
+    CASE WHEN o_orderkey % 5 = 0 THEN '0000/00/00' WHEN o_orderkey % 5 = 1 THEN ' '
+         ELSE strftime(o_orderdate, '%Y/%m/%d') END,
+    rpad(substring(c_mktsegment, 1, 3), 6, ' '), c_name, ' ' || substring(o_orderpriority, 1, 1), ' 1/2 ',
+    '  ' || c_name || '  ') AS line
+FROM orders JOIN customer ON o_custkey = c_custkey
+"""
+
+JTRIM = r"'^[\x00-\x20]+|[\x00-\x20]+$'"
+
+
+def java_trim(x: str) -> str:
+    return f"regexp_replace({x}, {JTRIM}, '', 'g')"
+
+
+def im2(x: str) -> str:
+    body = (f"array_to_string(list_transform(string_split({x}, chr(9)), lambda f, i: "
+            f"CASE WHEN i = 4 AND ({java_trim('f')} = '0000/00/00' OR {java_trim('f')} = '') THEN '' "
+            f"ELSE {java_trim('f')} END), chr(9))")
+    return f"(CASE WHEN {x} IS NULL OR length({x}) = 0 THEN {x} ELSE {body} END)"
+
+
+def pin_control(x: str, n: int = 7) -> str:
+    return (f"(CASE WHEN length({x}) > {n} AND regexp_matches(substring({x}, 7, 1), '[\\x00-\\x1F\\x7F-\\x9F]') "
+            f"THEN substring({x}, 1, 6) || '0000' || substring({x}, 7) ELSE {x} END)")
+
+
+def pin_nondigit(x: str, n: int = 6) -> str:
+    return (f"(CASE WHEN length({x}) > {n} AND NOT regexp_matches(substring({x}, 7, 1), '^\\p{{Nd}}$') "
+            f"THEN substring({x}, 1, 6) || '0000' || substring({x}, 11) ELSE {x} END)")
+
+
+def transform_case(x: str) -> str:
+    """Rule-selected transform over the v CTE (mirrors apply_transform)."""
+    key = "lower(regexp_extract(trim(transformer_class_name), '([^.]*)$', 1))"
+    return (f"(CASE WHEN NOT coalesce(enable_data_transformation, FALSE) THEN {x} "
+            f"WHEN {key} IN ('pm1', 'pm3') THEN {pin_control(x)} "
+            f"WHEN {key} IN ('pm2', 'pm5', 'pm6') THEN {pin_nondigit(x)} "
+            f"WHEN {key} = 'im2' THEN {im2(x)} ELSE {x} END)")
