@@ -52,4 +52,4 @@ FROM v GROUP BY batch_id, file_name
 
 
 # the other query families register themselves on import
-from . import q_lines  # noqa: E402,F401
+from . import q_lines, q_names  # noqa: E402,F401

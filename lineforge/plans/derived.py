@@ -195,3 +195,22 @@ def im2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KNOWN = schemas.KNOWN_TABLES
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as delivery file names of ten shapes (routable, extensions, hidden, ...)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    k = F.col("p_partkey") % 10
+    s = lambda c: c.cast("string")
+    digit = s(F.col("p_size") % 9 + 1)
+    name = F.when(k == 0, F.concat(F.lit("PM"), digit, F.lpad(s(F.col("p_partkey") % 100), 2, "0"))) \
+        .when(k == 1, F.concat(F.lit("IM"), s(F.col("p_size") % 4), F.lit("62.txt"))) \
+        .when(k == 2, F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".csv"))) \
+        .when(k == 3, F.concat("p_brand", F.lit(".CSV.gz"))) \
+        .when(k == 4, F.concat("p_type", F.lit("_"), "p_name", F.lit(".zip"))) \
+        .when(k == 5, F.concat("p_name", F.lit(".tsv"))) \
+        .when(k == 6, F.concat(F.lit("."), "p_brand")) \
+        .when(k == 7, F.lower(F.concat(F.lit("PM"), digit, F.lit("62")))) \
+        .when(k == 8, F.concat("p_brand", F.lit("."))) \
+        .otherwise(F.concat(F.lit("__"), F.upper("p_name"), F.lit("__.Csv.ZIP")))
+    return p.select("p_partkey", "p_brand", "p_size", name.alias("name"))

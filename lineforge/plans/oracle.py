@@ -232,3 +232,33 @@ def transform_case(x: str) -> str:
             f"WHEN {key} IN ('pm1', 'pm3') THEN {pin_control(x)} "
             f"WHEN {key} IN ('pm2', 'pm5', 'pm6') THEN {pin_nondigit(x)} "
             f"WHEN {key} = 'im2' THEN {im2(x)} ELSE {x} END)")
+
+
+FILE_NAMES = """
+SELECT p_partkey, p_brand, p_size,
+  CASE p_partkey % 10
+    WHEN 0 THEN 'PM' || CAST(p_size % 9 + 1 AS VARCHAR) || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0')
+    WHEN 1 THEN 'IM' || CAST(p_size % 4 AS VARCHAR) || '62.txt'
+    WHEN 2 THEN replace(p_name, ' ', '-') || '.csv'
+    WHEN 3 THEN p_brand || '.CSV.gz'
+    WHEN 4 THEN p_type || '_' || p_name || '.zip'
+    WHEN 5 THEN p_name || '.tsv'
+    WHEN 6 THEN '.' || p_brand
+    WHEN 7 THEN lower('PM' || CAST(p_size % 9 + 1 AS VARCHAR) || '62')
+    WHEN 8 THEN p_brand || '.'
+    ELSE '__' || upper(p_name) || '__.Csv.ZIP' END AS name
+FROM part
+"""
+
+
+def ext(x: str) -> str:
+    return f"regexp_extract({x}, '^.+(\\.[^.]*)$', 1)"
+
+
+def stem(x: str) -> str:
+    return f"regexp_replace({x}, '^(.+)\\.[^.]*$', '\\1')"
+
+
+def sanitize(x: str) -> str:
+    return (f"regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^a-zA-Z0-9_]', '_', 'g'), "
+            f"'_{{2,}}', '_', 'g'), '^_|_$', '', 'g')")
