@@ -72,8 +72,10 @@ def doc_plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def money(c) -> F.Column:
-    """Doubles as fixed 2-decimal text, identical in every engine."""
-    return F.col(c).cast("decimal(18,2)").cast("string")
+    """Non-negative doubles as 2-decimal text from floor(x * 100): identical in every engine."""
+    cents = F.floor(F.col(c) * 100).cast("long")
+    return F.concat((F.floor(cents / 100)).cast("long").cast("string"), F.lit("."),
+                    F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
 def orders_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,27 +83,43 @@ def orders_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Fields: lro_num, instrument_num, registration_date (yyyy/MM/dd),
     interest_code (priority), qualifier_code (status), -, -, consideration_amt.
-    Every order whose key ends in 7 leaves the instrument number empty (NOT
-    NULL violation) and every key ending in 3 gets a 12-char instrument
-    number (width violation), so the load gate has work to do.
+    Keys ending in 007 leave the instrument number empty (NOT NULL
+    violation) and keys ending in 003 get a 12-char instrument number (width
+    violation), so the load gate has batches to fail.  File names are
+    ``IM1nn`` (or ``IM3nn`` for every fifth customer: too many fields).
     """
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    instr = F.when(key % 10 == 7, F.lit("")) \
-        .when(key % 10 == 3, F.lpad(key.cast("string"), 12, "0")) \
+    instr = F.when(key % 1000 == 7, F.lit("")) \
+        .when(key % 1000 == 3, F.lpad(key.cast("string"), 12, "0")) \
         .otherwise(key.cast("string"))
     line = F.concat_ws(
         "\t", (F.col("o_custkey") % 100).cast("string"), instr,
-        F.date_format("o_orderdate", "yyyy/MM/dd"), F.col("o_orderpriority"),
+        F.date_format("o_orderdate", "yyyy/MM/dd"), F.substring("o_orderpriority", 1, 1),
         F.col("o_orderstatus"), F.lit(""), F.lit(""), money("o_totalprice"))
+    fname = F.concat(F.lit("IM"), F.when(F.col("o_custkey") % 5 == 0, F.lit("3")).otherwise(F.lit("1")),
+                     F.lpad((F.col("o_custkey") % 97).cast("string"), 2, "0"))
     return o.select(
-        F.concat(F.lit("IM1"), F.lpad((F.col("o_custkey") % 97).cast("string"), 2, "0")).alias("file_name"),
-        F.col("o_custkey").cast("string").alias("batch_id"),
+        fname.alias("file_name"),
+        fname.alias("batch_id"),
         key.alias("line_number"),
         line.alias("line"),
     )
 
 
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as CSV lines with quoted commas, doubled quotes, padding and short rows."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    s = lambda c: F.col(c).cast("string")
+    long = F.concat(s("p_partkey"), F.lit(',"'), F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit(' ""'),
+                    "p_brand", F.lit('""",  '), "p_type", F.lit("  ,"), s("p_size"), F.lit(","))
+    short = F.concat(s("p_partkey"), F.lit(","), "p_type")
+    line = F.when(F.col("p_partkey") % 3 == 0, short).otherwise(long)
+    header = F.concat(F.lit('"'), "p_name", F.lit('",'), "p_brand", F.lit(","), s("p_size"),
+                      F.lit(" Units,,__"), "p_type", F.lit("__"))
+    return p.select("p_partkey", line.alias("line"), header.alias("header"))
+
+
 def manifest_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as an ingestion manifest: one row per event.
 
