@@ -123,38 +123,51 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as an ingestion manifest: one row per event.
 
-    batch_id = event_id, parent = user_id, created_at = ts, total = value,
-    status by event_type, checksum = sha256(props).
+    batch_id = event_id, parent = user_id, created_at = started_at = ts,
+    total = floor(value), status by event_type, checksum = sha256(props),
+    completed_at = ts + value seconds for finished attempts.  PROCESSING rows
+    report 1.5 x total processed so the constraint check has rows to flag.
     """
+    from ..functions import names as N
+    from ..operators.manifest import duration_ms
     e = table(spark, sf_dir, "events")
-    status = F.when(F.col("event_type") == "purchase", F.lit("COMPLETED")) \
-        .when(F.col("event_type") == "error", F.lit("FAILED")) \
-        .when(F.col("event_type") == "view", F.lit("PROCESSING")) \
-        .when(F.col("event_type") == "click", F.lit("PENDING")) \
+    et = F.col("event_type")
+    status = F.when(et == "purchase", F.lit("COMPLETED")).when(et == "error", F.lit("FAILED")) \
+        .when(et == "view", F.lit("PROCESSING")).when(et == "click", F.lit("PENDING")) \
         .otherwise(F.lit("DUPLICATE"))
     total = F.floor(F.col("value")).cast("long")
-    return e.select(
+    fname = F.concat(F.lit("PM"), (F.col("event_id") % 7 + 1).cast("string"), F.lit("62"))
+    done = F.when(et.isin("purchase", "error"), F.expr(
+        "timestampadd(MICROSECOND, CAST(round(value * 1000000) AS BIGINT), ts)"))
+    m = e.select(
         F.col("event_id").cast("string").alias("batch_id"),
         F.col("user_id").cast("string").alias("parent_batch_id"),
-        F.concat(F.lit("PM"), (F.col("event_id") % 7 + 1).cast("string"), F.lit("62")).alias("file_name"),
+        fname.alias("file_name"),
+        F.concat(F.lit("upload://"), fname).alias("file_path"),
         F.length("props").cast("long").alias("file_size_bytes"),
         F.sha2(F.col("props"), 256).alias("file_checksum"),
+        N.route_table(fname).alias("table_name"),
         status.alias("status"),
         total.alias("total_records"),
-        F.when(status == "COMPLETED", total).otherwise(F.lit(0).cast("long")).alias("processed_records"),
+        F.when(et == "purchase", total).when(et == "view", F.floor(F.col("value") * 1.5).cast("long"))
+        .otherwise(F.lit(0).cast("long")).alias("processed_records"),
         F.lit(0).cast("long").alias("failed_records"),
+        F.when(et == "error", F.lit("REJECTED")).otherwise(F.lit("CLEAN")).alias("data_quality_status"),
         F.col("ts").alias("created_at"),
         F.col("ts").alias("started_at"),
-        F.when(status.isin("COMPLETED", "FAILED"),
-               F.col("ts") + F.make_interval(secs=F.col("value"))).alias("completed_at"),
-        F.col("event_type"),
+        done.alias("completed_at"),
+        F.when(et == "error", F.concat(F.lit("Load failed for event "), F.col("event_id").cast("string")))
+        .alias("error_message"),
+        F.when(et == "error", F.col("props")).alias("error_details"),
+        F.lit("system").alias("created_by"),
     )
+    return m.withColumn("processing_duration_ms", duration_ms())
 
 
 def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as archive children: archive = customer, one entry per order.
 
-    Entry name ``PM<k>62`` with k = key % 7 + 1; status from o_orderstatus
+    Entry name ``PM<k>62`` with k = key % 9 + 1 (pm8/pm9 are not known tables); status from o_orderstatus
     (F -> FAILED, P -> DUPLICATE, else SUCCESS); rows = lineitems of the order.
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
@@ -165,10 +178,15 @@ def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         F.col("o_custkey").cast("string").alias("parent_batch_id"),
         F.col("o_orderkey").cast("string").alias("batch_id"),
-        F.concat(F.lit("PM"), (F.col("o_orderkey") % 7 + 1).cast("string"), F.lit("62")).alias("filename"),
+        F.concat(F.lit("PM"), (F.col("o_orderkey") % 9 + 1).cast("string"), F.lit("62")).alias("filename"),
         status.alias("status"),
         F.coalesce(F.col("n_lines"), F.lit(0)).cast("long").alias("rows"),
         F.col("o_orderdate").alias("created_at"),
+        F.concat(F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"))
+        .alias("duplicate_of"),
+        F.col("o_orderdate").alias("original_completed_at"),
+        F.when(status == "FAILED", F.concat(F.lit("Load failed for order "), F.col("o_orderkey").cast("string")))
+        .alias("error_message"),
     )
 
 
@@ -232,3 +250,21 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 8, F.concat("p_brand", F.lit("."))) \
         .otherwise(F.concat(F.lit("__"), F.upper("p_name"), F.lit("__.Csv.ZIP")))
     return p.select("p_partkey", "p_brand", "p_size", name.alias("name"))
+
+
+def doc_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as delivered files: one file per document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    pat = lang_pattern(F.col("lang"))
+    fname = F.concat(pat, F.lit(OFFICE))
+    from ..functions import names as N
+    return d.select(
+        F.col("doc_id").cast("string").alias("batch_id"),
+        F.lit(None).cast("string").alias("parent_batch_id"),
+        fname.alias("file_name"),
+        F.octet_length("text").cast("long").alias("file_size_bytes"),
+        F.sha2(F.col("text"), 256).alias("file_checksum"),
+        N.route_table(fname).alias("table_name"),
+        F.col("doc_id").alias("arrival"),
+        F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"),
+    )
