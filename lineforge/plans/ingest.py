@@ -28,6 +28,7 @@ from ..operators import manifest as M
 from ..operators import transform as TR
 from ..operators import validate as V
 from ..operators.admission import admit
+from ..operators.common import cut_lineage
 from ..session import scratch_path
 
 
@@ -39,6 +40,10 @@ class IngestResult:
     loaded_path: str | None  # where accepted rows were appended (per table folder)
 
 
+def _first_violation_agg():
+    return F.min(F.struct("line_number", F.array_join("violations", ", ").alias("v"))).alias("_first")
+
+
 def _typed_by_table(t: DataFrame, tables) -> dict[str, DataFrame]:
     """Typed rows per target table (each batch targets exactly one table)."""
     out = {}
@@ -78,7 +83,8 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
         f = M.dedupe_against_manifest(f, manifest)
     else:
         f = f.withColumn("already_processed", F.lit(False)).withColumn("original_batch_id", F.lit(None).cast("string"))
-    f = f.persist(StorageLevel.MEMORY_AND_DISK)
+    # one row per file: materialise it so later plans start from a short lineage
+    f = cut_lineage(f, "ingest_files")
     active = f.where(F.col("reason").isNull() & ~F.col("already_processed")) \
         .select("batch_id", "file_pattern", "table_name", F.col("field_count").alias("bound"))
 
@@ -128,13 +134,15 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
                                             F.col("_first.v"))).alias("load_details"),
     )
 
+    outcome = cut_lineage(outcome, "ingest_outcome")  # one row per batch
+
     # ---- within-run duplicates: the first passing copy per checksum wins
     cand = f.join(outcome.select("batch_id", "rejected", "load_failed"), "batch_id", "left")
     passed = F.col("reason").isNull() & ~F.col("already_processed") & \
         ~F.coalesce(F.col("rejected"), F.lit(True)) & ~F.coalesce(F.col("load_failed"), F.lit(True))
     cand = M.dedupe_within_run(cand.withColumn("_passed", passed), order=("arrival", "batch_id"),
                                eligible=F.col("_passed"))
-    outcome_all = cand.select("batch_id", "_passed", "is_duplicate")
+    outcome_all = cut_lineage(cand.select("batch_id", "_passed", "is_duplicate"), "ingest_dupes")
 
     # ---- load accepted batches, one folder per table, partitioned by batch
     accepted = outcome_all.where(F.col("_passed") & ~F.col("is_duplicate")).select("batch_id")
