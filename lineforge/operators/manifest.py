@@ -173,15 +173,20 @@ def count_by_status(m: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- lifecycle
 
-def open_manifest(files: DataFrame, created_by: str = "system") -> DataFrame:
+def _now() -> Column:
+    return F.current_timestamp().cast("timestamp_ntz")
+
+
+def open_manifest(files: DataFrame, created_by: str = "system", started_at: Column | None = None) -> DataFrame:
     """New PROCESSING rows for admitted files (counters 0, quality CLEAN)."""
     zero = F.lit(0).cast("long")
+    started = _now() if started_at is None else started_at
     return files.select(
         "batch_id", "parent_batch_id", "file_name", "file_size_bytes", "file_checksum", "table_name",
         F.lit(PROCESSING).alias("status"), zero.alias("total_records"), zero.alias("processed_records"),
         zero.alias("failed_records"), zero.alias("corrected_records"), F.lit(0).alias("warning_count"),
         F.lit(0).alias("error_count"), F.lit("CLEAN").alias("data_quality_status"),
-        F.lit(created_by).alias("created_by"))
+        F.lit(created_by).alias("created_by"), started.alias("created_at"), started.alias("started_at"))
 
 
 # Manifest failure wording.
@@ -189,7 +194,7 @@ REJECT_MESSAGE = "File rejected: %d critical validation issues found"
 REJECT_DETAILS = "See file_validation_issues table for details (batch_id: %s)"
 
 
-def close_manifest(opened: DataFrame, outcome: DataFrame) -> DataFrame:
+def close_manifest(opened: DataFrame, outcome: DataFrame, completed_at: Column | None = None) -> DataFrame:
     """Apply per-batch outcomes: COMPLETED (total = processed = loaded rows) or FAILED/REJECTED.
 
     ``outcome``: batch_id, loaded_rows, corrected_records, warning_count,
@@ -218,8 +223,9 @@ def close_manifest(opened: DataFrame, outcome: DataFrame) -> DataFrame:
             F.coalesce(F.col("error_count"), F.lit(0)))).alias("data_quality_status"),
         F.when(failed, msg).alias("error_message"),
         F.when(failed, details).alias("error_details"),
-        "created_by",
-    )
+        "created_by", "created_at", "started_at",
+        (_now() if completed_at is None else completed_at).alias("completed_at"),
+    ).withColumn("processing_duration_ms", duration_ms()).withColumn("updated_at", F.col("completed_at"))
 
 
 def manifest_upsert(current: DataFrame, updates: DataFrame, key: str = "batch_id",

@@ -229,7 +229,7 @@ SELECT batch_id, parent_batch_id, file_name, file_size_bytes, file_checksum, tab
   'system' AS created_by
 FROM dm""")
 def q_open(spark, sf):
-    return M.open_manifest(D.doc_manifest(spark, sf))
+    return M.open_manifest(D.doc_manifest(spark, sf)).drop("created_at", "started_at")
 
 
 def _outcome(spark, sf):
@@ -271,7 +271,8 @@ SELECT dm.batch_id, parent_batch_id, file_name, file_size_bytes, file_checksum,
 FROM dm LEFT JOIN oc USING (batch_id)""")
 def q_close(spark, sf):
     opened = M.open_manifest(D.doc_manifest(spark, sf))
-    return M.close_manifest(opened, _outcome(spark, sf))
+    return M.close_manifest(opened, _outcome(spark, sf)).drop(
+        "created_at", "started_at", "completed_at", "processing_duration_ms", "updated_at")
 
 
 @register("manifest_upsert", f"""{WM}

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 DEFAULT_MAX_FILES = 5
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 DEFAULT_POLL = "5 seconds"
 
 
@@ -25,6 +26,8 @@ def delivery_stream(spark: SparkSession, path: str, fmt: str = "binaryFile", sch
                     max_files: int = DEFAULT_MAX_FILES, glob: str | None = None) -> DataFrame:
     """Streaming DataFrame of new files under ``path`` (``max_files`` per trigger)."""
     r = spark.readStream.format(fmt).option("maxFilesPerTrigger", max_files)
+    if schema is None and fmt == "binaryFile":
+        schema = BINARY_FILE_SCHEMA
     if glob:
         r = r.option("pathGlobFilter", glob)
     if schema is not None:
@@ -68,3 +71,99 @@ def append_to(path: str, partition_by: str | None = None) -> Callable[[DataFrame
             w = w.partitionBy(partition_by)
         w.parquet(path)
     return sink
+
+
+def list_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Directory listing (name, path, size, mtime) through the Hadoop file system.
+
+    Spark file sources skip zero-byte files, and markers are usually empty,
+    so the folder is listed the way Spark's own file index lists it.  Only
+    names and sizes come to the driver, never content.
+    """
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    if fs.exists(p):
+        for st in fs.listStatus(p):
+            if st.isFile():
+                rows.append((st.getPath().toString(), st.getPath().getName(), int(st.getLen()),
+                             int(st.getModificationTime())))
+    return spark.createDataFrame(rows, "path string, file_name string, length bigint, mtime bigint")
+
+
+def watch_folder(spark: SparkSession, upload_dir: str, rules: DataFrame, state_dir: str,
+                 tables_path: str | None = None, available_now: bool = True,
+                 max_files: int = DEFAULT_MAX_FILES, poll: str = DEFAULT_POLL):
+    """Watched-folder pick-up: every new ``<name>.done`` marker releases ``<name>``.
+
+    A file stream over the folder is the trigger: its checkpoint records which
+    files (data or marker) were already seen, so each arrival starts exactly
+    one micro-batch.  The batch function lists the folder, keeps markers not
+    handled before, gates them (``marker_gate``), loads ready
+    extension-less files with :func:`ingest_files` and ``.zip`` files with
+    ``ingest_archives`` (any other extension fails as unsupported),
+    deduplicates against the manifest under ``state_dir`` and appends
+    manifest rows, per-file results and issues there.  Files are not moved:
+    their state is the manifest status (see ``lifecycle_state``).
+    """
+    from ..functions import names as N
+    from ..plans.archives import ingest_archives
+    from ..plans.ingest import ingest_files
+    from ..sources import files as FS
+    from .folders import marker_gate
+
+    paths = {x: f"{state_dir}/{x}" for x in ("manifest", "results", "issues", "markers")}
+
+    def read(name):
+        try:
+            return spark.read.parquet(paths[name])
+        except Exception:  # noqa: BLE001 -- nothing written yet
+            return None
+
+    def process(_trigger: DataFrame, epoch: int) -> None:
+        listing = list_folder(spark, upload_dir)
+        markers = listing.where(F.col("file_name").endswith(".done"))
+        seen = read("markers")
+        if seen is not None:
+            markers = markers.join(seen.select("path", "mtime"), ["path", "mtime"], "left_anti")
+        markers = markers.cache()
+        if markers.limit(1).count() == 0:
+            return
+        data = listing.where(~F.col("file_name").endswith(".done"))
+        gated = marker_gate(data.select(F.col("file_name").alias("name")),
+                            markers.select(F.col("file_name").alias("marker")))
+        ready = data.join(gated.where(F.col("action") == "process").select(F.col("data_name").alias("file_name")),
+                          "file_name", "left_semi")
+        ext = F.lower(N.file_extension("file_name"))
+        manifest = read("manifest")
+        outs = []
+        plain = [r.path for r in ready.where(ext == "").select("path").collect()]   # the released names
+        if plain:
+            files = FS.file_checksums(FS.binary_files(spark, plain)).select(
+                F.col("path").alias("batch_id"), "file_name", F.col("length").alias("file_size_bytes"),
+                "file_checksum", F.col("modification_time").cast("long").alias("arrival"))
+            lines = FS.line_scan(spark, plain).select(F.col("file_path").alias("batch_id"), "line_number", "line")
+            run = ingest_files(files, lines, rules, manifest=manifest, tables_path=tables_path)
+            outs.append((run.manifest, run.results, run.issues))
+        zips = [r.path for r in ready.where(ext == ".zip").select("path").collect()]
+        if zips:
+            arc = ingest_archives(FS.binary_files(spark, zips), rules, manifest=manifest, tables_path=tables_path)
+            outs.append((arc.children.manifest, arc.results, arc.children.issues))
+        other = ready.where((ext != "") & (ext != ".zip")).select(
+            F.col("path").alias("batch_id"), F.lit(None).cast("string").alias("parent_batch_id"),
+            F.col("file_name").alias("filename"), F.lit(None).cast("string").alias("table_name"),
+            F.lit("FAILED").alias("status"), F.lit(0).cast("long").alias("rows_loaded"),
+            F.concat(F.lit("Unsupported file type: "), N.file_extension("file_name")).alias("error_message"),
+            F.lit(None).cast("string").alias("original_batch_id"))
+        for m, r, i in outs:
+            m.withColumn("epoch_id", F.lit(epoch)).write.mode("append").parquet(paths["manifest"])
+            r.withColumn("epoch_id", F.lit(epoch)).write.mode("append").parquet(paths["results"])
+            i.withColumn("epoch_id", F.lit(epoch)).write.mode("append").parquet(paths["issues"])
+        other.withColumn("epoch_id", F.lit(epoch)).write.mode("append").parquet(paths["results"])
+        markers.write.mode("append").parquet(paths["markers"])
+        markers.unpersist()
+
+    stream = delivery_stream(spark, upload_dir, fmt="binaryFile", max_files=max_files).select("path")
+    return run_stream(stream, process, name=f"watch_{abs(hash(upload_dir)) % 10**8}",
+                      checkpoint=f"{state_dir}/_checkpoint", available_now=available_now, poll=poll)
