@@ -52,4 +52,4 @@ FROM v GROUP BY batch_id, file_name
 
 
 # the other query families register themselves on import
-from . import q_ingest, q_lines, q_load, q_manifest, q_names, q_rules, q_sources  # noqa: E402,F401
+from . import q_archives, q_ingest, q_lines, q_load, q_manifest, q_names, q_rules, q_sources  # noqa: E402,F401

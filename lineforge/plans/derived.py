@@ -268,3 +268,42 @@ def doc_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("arrival"),
         F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"),
     )
+
+
+def write_order_archives(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
+    """One ZIP archive per customer under ``out_dir``; one entry per order.
+
+    Entry ``<orderkey>/PM<k>62`` (k = key % 9 + 1), or ``orders_<orderkey>.csv``
+    when the key is a multiple of 4; its lines are the order's pin lines in
+    line-number order.  Archives are built by ``applyInPandas`` per customer
+    (a customer's orders, a bounded group) and written through the Arrow file
+    system layer, so ``out_dir`` may be any URI the cluster can reach.
+    """
+    import pandas as pd
+
+    lines = pin_lines(spark, sf_dir).join(
+        table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("batch_id"),
+                                              F.col("o_custkey").alias("custkey")), "batch_id")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        import io
+        import zipfile
+
+        from pyarrow import fs as pafs
+
+        cust = int(pdf["custkey"].iloc[0])
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            pdf = pdf.assign(k=pdf["batch_id"].astype("int64")).sort_values(["k", "line_number"])
+            for key, g in pdf.groupby("k", sort=True):
+                name = f"orders_{key}.csv" if key % 4 == 0 else f"{key}/PM{key % 9 + 1}62"
+                z.writestr(name, "".join(ln + "\n" for ln in g["line"]))
+        filesystem, base = pafs.FileSystem.from_uri(out_dir)
+        with filesystem.open_output_stream(f"{base}/cust_{cust}.zip") as fh:
+            fh.write(buf.getvalue())
+        return pd.DataFrame({"custkey": [cust], "entries": [int(pdf["batch_id"].nunique())]})
+
+    os_base = out_dir
+    lines.groupBy("custkey").applyInPandas(build, "custkey long, entries long") \
+        .write.format("noop").mode("overwrite").save()
+    return os_base

@@ -111,12 +111,7 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
     # the routed tables of this run: at most the registered ten names
     tables = [r[0] for r in active.select("table_name").distinct().collect() if r[0] in schemas.TABLES]
     typed = _typed_by_table(t, tables)
-    viol = None
-    for df in typed.values():
-        part = df.select("batch_id", "line_number", "violations")
-        viol = part if viol is None else viol.unionByName(part)
-    if viol is None:
-        viol = t.select("batch_id", "line_number", F.array().cast("array<string>").alias("violations")).limit(0)
+    viol = L.line_violations(t, tables)
     gate = L.load_gate(viol).join(
         viol.where(F.size("violations") > 0).groupBy("batch_id").agg(
             F.min(F.struct("line_number", F.array_join("violations", ", ").alias("v"))).alias("_first")),

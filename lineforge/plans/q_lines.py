@@ -257,3 +257,30 @@ def q_first_line(spark, sf):
     d = D.doc_lines(spark, sf).where(F.col("line_number") == 1)
     return d.select("batch_id", "file_name", F.col("line").alias("first_line"),
                     tx.count_fields("line").alias("field_count"))
+
+
+@register("issue_filter", f"""{BASE}, i AS ({O.issues_sql('v')})
+SELECT * FROM i WHERE severity = 'CRITICAL' OR (batch_id = '7' AND severity = 'WARNING')""")
+def q_issue_filter(spark, sf):
+    from ..operators.report import filter_issues
+    i = V.validation_issues(validated(spark, sf))
+    return filter_issues(i, severity="CRITICAL").unionByName(filter_issues(i, batch_id="7", severity="WARNING"))
+
+
+_TR_NAMES = ("pm1", "pm2", "pm3", "pm5", "pm6", "im2", "noop", "unknown")
+
+
+@register("transformer_registry", f"""{PINS}
+SELECT batch_id, line_number, name,
+  CASE name WHEN 'pm1' THEN {O.pin_control('line')} WHEN 'pm3' THEN {O.pin_control('line')}
+            WHEN 'pm2' THEN {O.pin_nondigit('line')} WHEN 'pm5' THEN {O.pin_nondigit('line')}
+            WHEN 'pm6' THEN {O.pin_nondigit('line')} WHEN 'im2' THEN {O.im2('line')} ELSE line END AS out_line
+FROM (SELECT *, CASE CAST(line_number % {len(_TR_NAMES)} AS INTEGER)
+  {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_TR_NAMES))} END AS name FROM lines)""")
+def q_transformer_registry(spark, sf):
+    d = D.pin_lines(spark, sf)
+    k = (F.col("line_number") % len(_TR_NAMES)).cast("int")
+    name = F.element_at(F.array(*[F.lit(n) for n in _TR_NAMES]), k + 1)
+    d = d.withColumn("name", name).withColumn("enable_data_transformation", F.lit(True)) \
+        .withColumn("transformer_class_name", F.col("name"))
+    return TR.apply_transform(d, line_col="line").select("batch_id", "line_number", "name", "out_line")

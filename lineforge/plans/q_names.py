@@ -225,3 +225,26 @@ def q_count_fields(spark, sf):
         part = t.select("o_orderkey", F.lit(fmt).alias("fmt"), tx.count_fields("line", d).alias("field_count"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _registry_values():
+    from .. import schemas
+    rows = []
+    for t, cols in schemas.TABLES.items():
+        for i, c in enumerate(cols, start=1):
+            rows.append(f"('{t}', {i}, '{c.name}', '{c.kind}', {c.width if c.width else 'NULL'}, "
+                        f"{'TRUE' if c.required else 'FALSE'})")
+    return "(VALUES " + ", ".join(rows) + ") AS reg(table_name, position, column_name, kind, width, required)"
+
+
+@register("schema_registry", f"""{NAMES}, routed AS (
+  SELECT DISTINCT CASE WHEN regexp_full_match({O.stem('name')}, '{ROUTE_RE}')
+    THEN lower(regexp_extract({O.stem('name')}, '{ROUTE_RE}', 1) || regexp_extract({O.stem('name')}, '{ROUTE_RE}', 2)) END AS table_name
+  FROM names)
+SELECT reg.table_name, CAST(reg.position AS INTEGER) AS position, reg.column_name, reg.kind,
+       CAST(reg.width AS INTEGER) AS width, reg.required
+FROM routed JOIN {_registry_values()} ON routed.table_name = reg.table_name""")
+def q_schema_registry(spark, sf):
+    from ..operators.tables import registry_columns
+    routed = D.file_names(spark, sf).select(N.route_table("name").alias("table_name")).distinct()
+    return routed.join(registry_columns(spark), "table_name")
