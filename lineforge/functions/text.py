@@ -34,15 +34,23 @@ def count_control_chars(line) -> Column:
     return F.regexp_count(_c(line), F.lit(CONTROL_CHARS))
 
 
+def is_ascii(line) -> Column:
+    """True when every character is below U+0080 (byte length equals character length)."""
+    line = _c(line)
+    return F.octet_length(line) == F.length(line)
+
+
 def replace_non_latin(line) -> Column:
-    """Every code point above U+007F becomes one ``*``."""
-    return F.regexp_replace(_c(line), NON_LATIN_CHARS, REPLACEMENT)
+    """Every code point above U+007F becomes one ``*`` (ASCII lines skip the regex)."""
+    line = _c(line)
+    return F.when(is_ascii(line), line).otherwise(F.regexp_replace(line, NON_LATIN_CHARS, REPLACEMENT))
 
 
 def count_non_latin(line) -> Column:
     """Replacements as UTF-16 units: BMP chars count 1, supplementary 2."""
     line = _c(line)
-    return F.regexp_count(line, F.lit(NON_LATIN_CHARS)) + F.regexp_count(line, F.lit(SUPPLEMENTARY_CHARS))
+    return F.when(is_ascii(line), F.lit(0)).otherwise(
+        F.regexp_count(line, F.lit(NON_LATIN_CHARS)) + F.regexp_count(line, F.lit(SUPPLEMENTARY_CHARS)))
 
 
 def collapse_replaced(line) -> Column:

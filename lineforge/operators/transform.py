@@ -101,11 +101,14 @@ AUDIT_DESCRIPTION = "Empty PIN value '0000' inserted"
 
 
 def transform_audit(transformed: DataFrame, before: str = "fixed_line", after: str = "out_line") -> DataFrame:
-    """One DATA_TRANSFORMATION issue per changed line (file_name = pattern, untruncated)."""
-    return transformed.where(~F.col(before).eqNullSafe(F.col(after))).select(
-        "batch_id",
+    """One DATA_TRANSFORMATION issue per changed line (file_name = pattern, untruncated).
+
+    Built with an explode of a zero-or-one element array rather than a
+    filter, so the transform is not pushed into a filter and computed twice.
+    """
+    changed = ~F.col(before).eqNullSafe(F.col(after))
+    rec = F.when(changed, F.struct(
         F.col("file_pattern").alias("file_name"),
-        "line_number",
         F.lit(4).alias("issue_seq"),
         F.lit("DATA_TRANSFORMATION").alias("issue_type"),
         F.lit("WARNING").alias("severity"),
@@ -116,4 +119,9 @@ def transform_audit(transformed: DataFrame, before: str = "fixed_line", after: s
         F.lit(AUDIT_FIX).alias("fix_description"),
         F.col(before).alias("original_line"),
         F.col(after).alias("corrected_line"),
-    )
+    ))
+    arr = F.filter(F.array(rec), lambda x: x.isNotNull())
+    return transformed.select("batch_id", "line_number", F.explode(arr).alias("i")).select(
+        "batch_id", "i.file_name", "line_number", "i.issue_seq", "i.issue_type", "i.severity",
+        "i.expected_value", "i.actual_value", "i.description", "i.auto_fixed", "i.fix_description",
+        "i.original_line", "i.corrected_line")

@@ -71,10 +71,13 @@ def validate_lines(lines_with_rules: DataFrame) -> DataFrame:
     df = df.withColumn("_ctl", flag("replace_control_chars") & active) \
         .withColumn("_nl", flag("replace_non_latin_chars") & active) \
         .withColumn("_col", flag("collapse_consecutive_replaced") & active)
-    df = df.withColumn("_s1", F.when(F.col("_ctl"), tx.replace_control_chars("line")).otherwise(F.col("line"))) \
-        .withColumn("n_control", F.when(F.col("_ctl"), tx.count_control_chars("line")).otherwise(F.lit(0)))
-    df = df.withColumn("_s2", F.when(F.col("_nl"), tx.replace_non_latin("_s1")).otherwise(F.col("_s1"))) \
-        .withColumn("n_non_latin", F.when(F.col("_nl"), tx.count_non_latin("_s1")).otherwise(F.lit(0)))
+    # counts first; a replacement runs only on lines that have something to replace
+    df = df.withColumn("n_control", F.when(F.col("_ctl"), tx.count_control_chars("line")).otherwise(F.lit(0)))
+    df = df.withColumn("_s1", F.when(F.col("n_control") > 0, tx.replace_control_chars("line"))
+                       .otherwise(F.col("line")))
+    df = df.withColumn("n_non_latin", F.when(F.col("_nl"), tx.count_non_latin("_s1")).otherwise(F.lit(0)))
+    df = df.withColumn("_s2", F.when(F.col("n_non_latin") > 0, tx.replace_non_latin("_s1"))
+                       .otherwise(F.col("_s1")))
     do_collapse = F.col("_col") & (F.instr("_s2", "**") > 0)
     df = df.withColumn("cleaned", F.when(do_collapse, tx.collapse_replaced("_s2")).otherwise(F.col("_s2")))
     # only asterisks are removed by the collapse, so the length drop is the count
@@ -161,8 +164,14 @@ def validation_issues(validated: DataFrame) -> DataFrame:
 
 
 def _issues(validated: DataFrame, parts: list[Column], pre: Column) -> DataFrame:
+    """Explode the per-line issue structs.
+
+    No ``where`` before the explode on purpose: Catalyst would push such a
+    filter below the cleaning projections and evaluate the regex chain twice.
+    A line without issues yields an empty array, and so no rows.
+    """
     arr = F.filter(F.array(*parts), lambda x: x.isNotNull())
-    return validated.where(pre).select(
+    return validated.select(
         "batch_id", "file_name", "line_number", F.explode(arr).alias("i")
     ).select("batch_id", "file_name", "line_number", "i.*").select(*schemas.ISSUE_COLUMNS)
 
