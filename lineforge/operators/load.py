@@ -29,8 +29,9 @@ def tsv_scan(lines: DataFrame, table: str, line_col: str = "line",
              keep=("batch_id", "line_number")) -> DataFrame:
     """Headerless TSV lines -> the table's data columns as strings; '' -> NULL."""
     cols = schemas.table_columns(table)
-    f = tsv_fields(line_col)
-    return lines.select(*keep, *[F.nullif(F.get(f, i), F.lit("")).alias(c.name) for i, c in enumerate(cols)])
+    split = lines.select(*keep, tsv_fields(line_col).alias("_fields"))   # split once per line
+    f = F.col("_fields")
+    return split.select(*keep, *[F.nullif(F.get(f, i), F.lit("")).alias(c.name) for i, c in enumerate(cols)])
 
 
 def first_line_fields(lines: DataFrame, fmt_delimiter: str = TAB, batch: str = "batch_id") -> DataFrame:
