@@ -92,7 +92,12 @@ def apply_transform(df: DataFrame, line_col: str = "fixed_line", out_col: str =
     res = df.withColumn("transform_key", key).withColumn(out_col, out)
     if all(name in _KEEPS_LINES for name in reg):
         return res
-    return res.where(F.col(out_col).isNotNull() | F.col(line_col).isNull())
+    # Drop lines whose transform returned NULL.  An explode of a zero-or-one
+    # element array instead of a filter: Catalyst pushes filters below the
+    # projections and would inline (and so repeat) the whole cleaning chain.
+    keep = F.col(out_col).isNotNull() | F.col(line_col).isNull()
+    cols = [c for c in res.columns if c != out_col]
+    return res.select(*cols, F.explode(F.when(keep, F.array(F.col(out_col)))).alias(out_col))
 
 
 # Wording of the transformation audit issue.

@@ -38,6 +38,12 @@ class IngestResult:
     results: DataFrame       # one row per input file: outcome and message
     issues: DataFrame        # validation + transformation issues
     loaded_path: str | None  # where accepted rows were appended (per table folder)
+    cached: tuple = ()       # frames persisted for the run; see release()
+
+    def release(self) -> None:
+        """Drop the persisted line frame once the outputs have been written."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def _first_violation_agg():
@@ -170,4 +176,4 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
         F.coalesce(F.col("reason"), F.col("_merr")).alias("error_message"),
         F.col("original_batch_id"),
     )
-    return IngestResult(manifest=closed, results=results, issues=issues, loaded_path=loaded_path)
+    return IngestResult(manifest=closed, results=results, issues=issues, loaded_path=loaded_path, cached=(t,))

@@ -137,7 +137,7 @@ def watch_folder(spark: SparkSession, upload_dir: str, rules: DataFrame, state_d
                           "file_name", "left_semi")
         ext = F.lower(N.file_extension("file_name"))
         manifest = read("manifest")
-        outs = []
+        outs, runs = [], []
         plain = [r.path for r in ready.where(ext == "").select("path").collect()]   # the released names
         if plain:
             files = FS.file_checksums(FS.binary_files(spark, plain)).select(
@@ -146,10 +146,12 @@ def watch_folder(spark: SparkSession, upload_dir: str, rules: DataFrame, state_d
             lines = FS.line_scan(spark, plain).select(F.col("file_path").alias("batch_id"), "line_number", "line")
             run = ingest_files(files, lines, rules, manifest=manifest, tables_path=tables_path)
             outs.append((run.manifest, run.results, run.issues))
+            runs.append(run)
         zips = [r.path for r in ready.where(ext == ".zip").select("path").collect()]
         if zips:
             arc = ingest_archives(FS.binary_files(spark, zips), rules, manifest=manifest, tables_path=tables_path)
             outs.append((arc.children.manifest, arc.results, arc.children.issues))
+            runs.append(arc.children)
         other = ready.where((ext != "") & (ext != ".zip")).select(
             F.col("path").alias("batch_id"), F.lit(None).cast("string").alias("parent_batch_id"),
             F.col("file_name").alias("filename"), F.lit(None).cast("string").alias("table_name"),
@@ -163,6 +165,8 @@ def watch_folder(spark: SparkSession, upload_dir: str, rules: DataFrame, state_d
         other.withColumn("epoch_id", F.lit(epoch)).write.mode("append").parquet(paths["results"])
         markers.write.mode("append").parquet(paths["markers"])
         markers.unpersist()
+        for run in runs:
+            run.release()
 
     stream = delivery_stream(spark, upload_dir, fmt="binaryFile", max_files=max_files).select("path")
     return run_stream(stream, process, name=f"watch_{abs(hash(upload_dir)) % 10**8}",

@@ -12,7 +12,8 @@ sys.path.insert(0, ROOT)
 def spark():
     from lineforge.session import build_session
     s = build_session("local[*]", shuffle_partitions=8, app="lineforge-tests",
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="lf-test-ckpt-")})
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="lf-test-ckpt-"),
+                             "spark.driver.memory": "4g"})
     yield s
     s.stop()
 
