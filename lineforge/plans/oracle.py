@@ -36,7 +36,7 @@ def rules_values(overrides=None, seeds=schemas.RULE_SEEDS) -> str:
     for i, seed in enumerate(seeds, start=1):
         rec = dict(zip(names, seed))
         rec.update((overrides or {}).get(rec["file_pattern"], {}))
-        rows.append("(" + ", ".join([str(i)] + [lit(rec[n]) for n in names]) + ")")
+        rows.append("(" + ", ".join([f"CAST({i} AS BIGINT)"] + [lit(rec[n]) for n in names]) + ")")
     return ("SELECT * FROM (VALUES " + ", ".join(rows) + ") AS r(" + ", ".join(RULE_COLS) + ")")
 
 

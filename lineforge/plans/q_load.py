@@ -124,7 +124,7 @@ def q_typed(spark, sf):
 
 
 @register("load_gate", f"""{SCANNED}
-SELECT batch_id, count(*) AS row_count, count_if(len(violations) > 0) AS bad_rows,
+SELECT batch_id, count(*) AS row_count, CAST(count_if(len(violations) > 0) AS BIGINT) AS bad_rows,
        bool_or(len(violations) > 0) AS failed FROM typed GROUP BY batch_id""")
 def q_load_gate(spark, sf):
     return L.load_gate(_typed(spark, sf))

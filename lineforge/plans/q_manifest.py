@@ -142,8 +142,9 @@ def q_latest(spark, sf):
 
 
 @register("processing_stats", f"""{WM}
-SELECT count(*) AS total_batches, count_if(status = 'COMPLETED') AS completed_batches,
-  count_if(status = 'FAILED') AS failed_batches, count_if(status = 'PROCESSING') AS processing_batches,
+SELECT count(*) AS total_batches, CAST(count_if(status = 'COMPLETED') AS BIGINT) AS completed_batches,
+  CAST(count_if(status = 'FAILED') AS BIGINT) AS failed_batches,
+  CAST(count_if(status = 'PROCESSING') AS BIGINT) AS processing_batches,
   CAST(coalesce(sum(total_records), 0) AS BIGINT) AS total_records_processed
 FROM m WHERE status IN ('COMPLETED', 'FAILED', 'PROCESSING')""")
 def q_stats(spark, sf):
@@ -319,8 +320,8 @@ _STATUS = ("CASE WHEN f = 0 AND d = 0 THEN 'SUCCESS' WHEN f = 0 AND d > 0 AND s
 @register("batch_rollup", f"""{_RESULTS}
 SELECT parent_batch_id, total_files, s AS successful_files, f AS failed_files, d AS duplicate_files,
   total_rows_loaded, parent_total_records, {_STATUS} AS processing_status FROM (
-SELECT parent_batch_id, count(*) AS total_files, count_if(status = 'SUCCESS') AS s, count_if(status = 'FAILED') AS f,
-  count_if(status = 'DUPLICATE') AS d,
+SELECT parent_batch_id, count(*) AS total_files, CAST(count_if(status = 'SUCCESS') AS BIGINT) AS s,
+  CAST(count_if(status = 'FAILED') AS BIGINT) AS f, CAST(count_if(status = 'DUPLICATE') AS BIGINT) AS d,
   CAST(coalesce(sum(CASE WHEN status = 'SUCCESS' THEN rows_loaded END), 0) AS BIGINT) AS total_rows_loaded,
   CAST(coalesce(sum(rows_loaded), 0) AS BIGINT) AS parent_total_records
 FROM r GROUP BY parent_batch_id)""")
@@ -338,9 +339,10 @@ def q_batch_status(spark, sf):
 
 @register("validation_summary", f"""{_RESULTS}
 SELECT parent_batch_id,
-  count_if(status = 'SUCCESS' AND rows_loaded > 0) AS tables_ready_for_production,
-  count_if((status = 'SUCCESS' AND rows_loaded <= 0) OR (status <> 'SUCCESS' AND status <> 'DUPLICATE')) AS tables_requiring_review,
-  count_if((status = 'SUCCESS' AND rows_loaded <= 0) OR status = 'FAILED') AS data_quality_issue_count
+  CAST(count_if(status = 'SUCCESS' AND rows_loaded > 0) AS BIGINT) AS tables_ready_for_production,
+  CAST(count_if((status = 'SUCCESS' AND rows_loaded <= 0) OR (status <> 'SUCCESS' AND status <> 'DUPLICATE')) AS BIGINT)
+    AS tables_requiring_review,
+  CAST(count_if((status = 'SUCCESS' AND rows_loaded <= 0) OR status = 'FAILED') AS BIGINT) AS data_quality_issue_count
 FROM r GROUP BY parent_batch_id""")
 def q_validation_summary(spark, sf):
     return M.validation_summary(_results(spark, sf)).select(
@@ -398,7 +400,7 @@ def q_table_exists(spark, sf):
 
 @register("recommendations", f"""{WE}, x AS (
 SELECT parent_batch_id, count(*) AS files,
-  count_if(NOT coalesce({_route_sql('filename')} IN {_KNOWN}, FALSE)) AS new_tables,
+  CAST(count_if(NOT coalesce({_route_sql('filename')} IN {_KNOWN}, FALSE)) AS BIGINT) AS new_tables,
   CAST(sum(rows) AS BIGINT) AS total_estimated_rows FROM e GROUP BY parent_batch_id)
 SELECT parent_batch_id, new_tables, files - new_tables AS existing_tables, total_estimated_rows,
   list_filter([

@@ -60,7 +60,7 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
              generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""")
 def q_line_number(spark, sf):
     d = D.doc_plain_lines(spark, sf)
-    return d.select("batch_id", "line_number", F.length("line").alias("line_length"))
+    return d.select("batch_id", "line_number", F.length("line").cast("long").alias("line_length"))
 
 
 @register("row_count_estimate", """
