@@ -30,3 +30,18 @@ def cut_lineage(df: DataFrame, name: str | None = None, eager: bool = True) -> D
     """
     scratch_path(df.sparkSession, name or "ckpt")  # makes sure a checkpoint dir is set
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when the input has fewer partitions than cores.
+
+    A small delivery (or a single unsplittable gzip file / parquet row group)
+    arrives as one partition, which would run all per-line work in one task.
+    Large inputs already have many splits and pass through unchanged, so no
+    shuffle is added at scale.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

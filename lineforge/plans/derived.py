@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.common import spread
 from ..operators.validate import rules_df
 
 # How documents map to delivery file types, and the run's rule
@@ -48,7 +49,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Text is split on LF (trailing empty line kept), spaces become tabs and
     ``q`` becomes U+0001 so the tab and control-character paths are exercised.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     pat = lang_pattern(F.col("lang"))
     return d.select(
         F.col("doc_id").cast("string").alias("batch_id"),
@@ -64,7 +65,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` split into numbered lines, text untouched."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select(
         F.col("doc_id").cast("string").alias("batch_id"),
         F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "line"),
@@ -88,7 +89,7 @@ def orders_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     violation), so the load gate has batches to fail.  File names are
     ``IM1nn`` (or ``IM3nn`` for every fifth customer: too many fields).
     """
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     key = F.col("o_orderkey")
     instr = F.when(key % 1000 == 7, F.lit("")) \
         .when(key % 1000 == 3, F.lpad(key.cast("string"), 12, "0")) \
@@ -196,7 +197,7 @@ def pin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Line 1 of each order has an empty pin, line 2 a blank (4 spaces) pin, so
     both pin fixes have lines to repair.
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     pad = lambda c, n: F.lpad((c).cast("string"), n, "0")
     pin = F.when(F.col("l_linenumber") == 1, F.lit("")) \
         .when(F.col("l_linenumber") == 2, F.lit("    ")) \

@@ -28,7 +28,7 @@ from ..operators import manifest as M
 from ..operators import transform as TR
 from ..operators import validate as V
 from ..operators.admission import admit
-from ..operators.common import cut_lineage
+from ..operators.common import cut_lineage, spread
 from ..session import scratch_path
 
 
@@ -95,10 +95,14 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
         .select("batch_id", "file_pattern", "table_name", F.col("field_count").alias("bound"))
 
     # ---- line pipeline: validate -> transform -> typed
-    ln = lines.drop("file_name", "file_pattern").join(active, "batch_id") \
+    ln = spread(lines.drop("file_name", "file_pattern")).join(active, "batch_id") \
         .join(files.select("batch_id", "file_name"), "batch_id")
     v = V.validate_lines(V.rule_join(ln, rules))
     t = TR.apply_transform(v).withColumn("row_fields", tx.count_fields("out_line"))
+    # keep only what the issue table, the metrics and the typed load read
+    t = t.select("batch_id", "file_name", "file_pattern", "table_name", "bound", "line_number", "line", "cleaned",
+                 "n_control", "n_non_latin", "n_collapsed", "expected_tab_count", "tab_count", "tab_issue",
+                 "tab_severity", "tab_fixed", "fixed_line", "out_line", "row_fields")
     t = t.persist(StorageLevel.MEMORY_AND_DISK)
 
     vissues = V.validation_issues(t)
