@@ -28,7 +28,7 @@ from ..operators import manifest as M
 from ..operators import transform as TR
 from ..operators import validate as V
 from ..operators.admission import admit
-from ..operators.common import cut_lineage, spread
+from ..operators.common import bounded_broadcast, cut_lineage, spread
 from ..session import scratch_path
 
 
@@ -92,11 +92,12 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
     # one row per file: materialise it so later plans start from a short lineage
     f = cut_lineage(f, "ingest_files")
     active = f.where(F.col("reason").isNull() & ~F.col("already_processed")) \
-        .select("batch_id", "file_pattern", "table_name", F.col("field_count").alias("bound"))
+        .select("batch_id", "file_name", "file_pattern", "table_name", F.col("field_count").alias("bound"))
 
     # ---- line pipeline: validate -> transform -> typed
-    ln = spread(lines.drop("file_name", "file_pattern")).join(active, "batch_id") \
-        .join(files.select("batch_id", "file_name"), "batch_id")
+    # one row per file: broadcast (size-checked) so the lines are not shuffled;
+    # a shuffle would let AQE pack a small run's lines into a single task
+    ln = spread(lines.drop("file_name", "file_pattern")).join(bounded_broadcast(active), "batch_id")
     v = V.validate_lines(V.rule_join(ln, rules))
     t = TR.apply_transform(v).withColumn("row_fields", tx.count_fields("out_line"))
     # keep only what the issue table, the metrics and the typed load read
@@ -153,6 +154,7 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
     accepted = outcome_all.where(F.col("_passed") & ~F.col("is_duplicate")).select("batch_id")
     loaded_path = None
     if write:
+        accepted = bounded_broadcast(accepted)
         loaded_path = tables_path or scratch_path(spark, "tables")
         for name, df in typed.items():
             rows = df.join(accepted, "batch_id", "left_semi").drop("violations", "line_number")
