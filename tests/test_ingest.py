@@ -98,3 +98,19 @@ def test_archives(spark, tmpdir_path):
     assert roll[1].total_files == 0 and roll[1].processing_status == "SUCCESS"   # archive without data entries
     parent = res.parents.where(F.col("file_name") == "good.zip").collect()[0]
     assert parent.status == "COMPLETED" and parent.total_records == 4
+
+
+def test_archive_already_processed(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "zips")
+    os.makedirs(src)
+    with zipfile.ZipFile(os.path.join(src, "a.zip"), "w") as z:
+        z.writestr("PM462", PM4_OK)
+    archives = FS.binary_files(spark, src, glob="*.zip")
+    first = ingest_archives(archives, rules_df(spark), write=False)
+    parents = first.parents.withColumn("created_at", F.current_timestamp()) \
+        .withColumn("completed_at", F.current_timestamp()).withColumn("table_name", F.lit(None).cast("string"))
+    again = ingest_archives(archives, rules_df(spark), manifest=parents, write=False)
+    d = again.duplicates.collect()
+    assert len(d) == 1 and d[0].processing_status == "ALREADY_PROCESSED" and d[0].manifest_status == "DUPLICATE"
+    assert d[0].total_records == 2
+    assert again.results.count() == 0
