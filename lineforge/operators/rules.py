@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_broadcast
+
 KEY = "file_pattern"
 
 
@@ -29,7 +31,7 @@ def rule_upsert(existing: DataFrame, updates: DataFrame) -> DataFrame:
 def rule_toggle(rules: DataFrame, patterns: DataFrame, enabled: bool) -> DataFrame:
     """Set ``validation_enabled`` for the listed patterns."""
     p = patterns.select(KEY).distinct().withColumn("_hit", F.lit(True))
-    j = rules.join(F.broadcast(p), KEY, "left")
+    j = rules.join(bounded_broadcast(p), KEY, "left")
     return j.withColumn("validation_enabled", F.when(F.col("_hit"), F.lit(enabled))
                         .otherwise(F.col("validation_enabled"))).drop("_hit")
 
