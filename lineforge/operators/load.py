@@ -181,7 +181,7 @@ def row_number_assign(df: DataFrame, start: int = 0) -> DataFrame:
 
 
 def batch_load(typed: DataFrame, table: str, path: str | None = None, run_id: str | None = None) -> DataFrame:
-    """Append the rows of every passing batch to the table folder, all or nothing per batch.
+    """Write the rows of every passing batch to the table folder, all or nothing per batch.
 
     Rows are tagged with batch_id (already present), ``loaded_at`` (one
     timestamp per run) and ``row_number``; the write is partitioned by
@@ -195,6 +195,7 @@ def batch_load(typed: DataFrame, table: str, path: str | None = None, run_id: st
     good = passing_rows(typed, gate).drop("violations", "line_number")
     good = row_number_assign(good).withColumn(
         "loaded_at", F.lit(F.current_timestamp()).cast("timestamp_ntz")).withColumn("load_run", F.lit(run_id))
-    good.write.mode("append").partitionBy("batch_id").parquet(path)
+    # dynamic partition overwrite: re-running a batch replaces its folder, other batches stay
+    good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
     loaded = spark.read.parquet(path).where(F.col("load_run") == run_id)
     return loaded

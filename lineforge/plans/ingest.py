@@ -160,7 +160,9 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
             rows = df.join(accepted, "batch_id", "left_semi").drop("violations", "line_number")
             rows = L.row_number_assign(rows).withColumn(
                 "loaded_at", F.lit(F.current_timestamp()).cast("timestamp_ntz")).withColumn("load_run", F.lit(run_id))
-            rows.write.mode("append").partitionBy("batch_id").parquet(f"{loaded_path}/{name}")
+            # dynamic partition overwrite: a retried batch replaces its own folder
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+                .partitionBy("batch_id").parquet(f"{loaded_path}/{name}")
 
     # ---- manifest rows for files that reached manifest creation (not duplicates)
     opened = M.open_manifest(f.where(F.col("reason").isNull() & ~F.col("already_processed"))

@@ -64,12 +64,16 @@ def run_stream(stream: DataFrame, process: Callable[[DataFrame, int], None], nam
 
 
 def append_to(path: str, partition_by: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink appending the batch to a Parquet folder."""
+    """A ``foreachBatch`` sink writing each micro-batch to ``path/epoch_id=<n>``.
+
+    The epoch folder is overwritten, so a batch replayed after a failure
+    replaces its own output (exactly-once at the folder level).
+    """
     def sink(batch: DataFrame, epoch: int) -> None:
-        w = batch.withColumn("epoch_id", F.lit(epoch)).write.mode("append")
+        w = batch.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(partition_by)
-        w.parquet(path)
+        w.parquet(f"{path}/epoch_id={epoch}")
     return sink
 
 
@@ -158,12 +162,16 @@ def watch_folder(spark: SparkSession, upload_dir: str, rules: DataFrame, state_d
             F.lit("FAILED").alias("status"), F.lit(0).cast("long").alias("rows_loaded"),
             F.concat(F.lit("Unsupported file type: "), N.file_extension("file_name")).alias("error_message"),
             F.lit(None).cast("string").alias("original_batch_id"))
-        for m, r, i in outs:
-            m.withColumn("epoch_id", F.lit(epoch)).write.mode("append").parquet(paths["manifest"])
-            r.withColumn("epoch_id", F.lit(epoch)).write.mode("append").parquet(paths["results"])
-            i.withColumn("epoch_id", F.lit(epoch)).write.mode("append").parquet(paths["issues"])
-        other.withColumn("epoch_id", F.lit(epoch)).write.mode("append").parquet(paths["results"])
-        markers.write.mode("append").parquet(paths["markers"])
+        # each epoch writes its own folders with overwrite: a micro-batch replayed
+        # after a failure rewrites the same output instead of appending twice
+        def put(df, name, part):
+            df.write.mode("overwrite").parquet(f"{paths[name]}/epoch_id={epoch}/part={part}")
+        for n, (m, r, i) in enumerate(outs):
+            put(m, "manifest", n)
+            put(r, "results", n)
+            put(i, "issues", n)
+        put(other, "results", "other")
+        put(markers, "markers", 0)
         markers.unpersist()
         for run in runs:
             run.release()
