@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import validate as V
-from . import derived as D
 from . import oracle as O
 
 from .registry import ORACLE, QUERIES, register, validated  # noqa: F401

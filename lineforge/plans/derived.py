@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
 from ..operators.common import spread
 from ..operators.validate import rules_df
 
@@ -231,8 +230,6 @@ def im2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("o_orderkey").cast("long").alias("line_number"), line.alias("line"))
 
 
-KNOWN = schemas.KNOWN_TABLES
-
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``part`` as delivery file names of ten shapes (routable, extensions, hidden, ...)."""
@@ -304,7 +301,6 @@ def write_order_archives(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
             fh.write(buf.getvalue())
         return pd.DataFrame({"custkey": [cust], "entries": [int(pdf["batch_id"].nunique())]})
 
-    os_base = out_dir
     lines.groupBy("custkey").applyInPandas(build, "custkey long, entries long") \
         .write.format("noop").mode("overwrite").save()
-    return os_base
+    return out_dir

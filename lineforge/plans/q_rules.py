@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import rules as R
-from ..operators import validate as V
 from . import derived as D
 from . import oracle as O
 from .registry import register, validated
