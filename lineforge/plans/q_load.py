@@ -166,9 +166,14 @@ def q_tag(spark, sf):
     return L.tag_untagged_rows(d, "untagged-run")
 
 
-@register("row_number_assign")
+@register("row_number_assign", f"""{TSV}
+SELECT batch_id, count(*) AS row_count, count(*) AS distinct_ids, TRUE AS all_positive FROM lines GROUP BY batch_id""")
 def q_row_number(spark, sf):
-    return L.row_number_assign(D.orders_tsv(spark, sf).select("batch_id", "line_number"))
+    """Ids are unique and positive: per batch, as many distinct ids as rows."""
+    r = L.row_number_assign(D.orders_tsv(spark, sf).select("batch_id", "line_number"))
+    return r.groupBy("batch_id").agg(F.count("*").alias("row_count"),
+                                     F.count_distinct("row_number").alias("distinct_ids"),
+                                     (F.min("row_number") > 0).alias("all_positive"))
 
 
 # ------------------------------------------------------------------ CSV text
