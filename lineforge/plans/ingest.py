@@ -185,3 +185,74 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
         F.col("original_batch_id"),
     )
     return IngestResult(manifest=closed, results=results, issues=issues, loaded_path=loaded_path, cached=(t,))
+
+
+def ingest_csv(files: DataFrame, lines: DataFrame, rules: DataFrame, manifest: DataFrame | None = None,
+               tables_path: str | None = None, write: bool = True) -> IngestResult:
+    """Header-CSV flow: table named from the file, columns from the header line.
+
+    Columns come from the first line (split on commas, trimmed, lower-cased,
+    as the live load path does); data lines are parsed quote-aware and
+    re-emitted at header width.  Each row is stored as a ``map<column, value>``
+    (empty -> NULL) so files with different headers share one table layout per
+    table name.  Lines are validated by the rule of their file pattern exactly
+    as TSV files are.  Files are admitted as ``csv``.
+    """
+    from ..functions import csvtext as CV
+
+    spark = files.sparkSession
+    if "parent_batch_id" not in files.columns:
+        files = files.withColumn("parent_batch_id", F.lit(None).cast("string"))
+    f = admit(files, name="file_name", size="file_size_bytes", allowed=("csv", ""))
+    f = f.withColumn("table_name", N.table_name_from_file("file_name")) \
+        .withColumn("file_pattern", N.file_pattern("file_name"))
+    header = lines.groupBy("batch_id").agg(F.min_by("line", "line_number").alias("_header"),
+                                           F.min("line_number").alias("_first"))
+    header = header.withColumn("columns", CV.header_columns("_header", "naive"))
+    f = f.join(header.select("batch_id", "columns", "_first"), "batch_id", "left") \
+        .withColumn("reason", F.coalesce(F.col("reason"), F.when(
+            F.col("columns").isNull() | (F.size("columns") == 0), F.lit("File is empty or has no header"))))
+    if manifest is not None:
+        f = M.dedupe_against_manifest(f, manifest)
+    else:
+        f = f.withColumn("already_processed", F.lit(False)).withColumn("original_batch_id", F.lit(None).cast("string"))
+    f = cut_lineage(f, "ingest_csv_files")
+    active = f.where(F.col("reason").isNull() & ~F.col("already_processed")) \
+        .select("batch_id", "file_name", "file_pattern", "table_name", "columns", "_first")
+    ln = spread(lines.drop("file_name", "file_pattern")).join(bounded_broadcast(active), "batch_id")
+    v = V.validate_lines(V.rule_join(ln, rules))
+    issues = V.validation_issues(v)
+    data = v.where(F.col("line_number") > F.col("_first"))
+    rows = data.select("batch_id", "table_name", "line_number", F.map_from_arrays(
+        F.col("columns"), F.transform(F.split(CV.csv_to_tsv("fixed_line", F.size("columns")), "\t", -1),
+                                      lambda x: F.nullif(x, F.lit("")))).alias("row"))
+    ci = lambda c: (F.col(c) > 0).cast("int")
+    n_clean = ci("n_control") + ci("n_non_latin") + ci("n_collapsed")
+    outcome = v.groupBy("batch_id").agg(
+        F.count_if(F.col("line_number") > F.col("_first")).cast("long").alias("loaded_rows"),
+        F.sum(n_clean + F.col("tab_fixed").cast("int")).cast("long").alias("corrected_records"),
+        F.sum(n_clean + F.col("tab_fixed").cast("int")).cast("int").alias("warning_count"),
+        F.sum((F.col("tab_issue").isNotNull() & ~F.col("tab_fixed")).cast("int")).cast("int").alias("error_count"),
+        F.sum(n_clean + F.col("tab_issue").isNotNull().cast("int")).cast("long").alias("issue_count"),
+        F.max(F.coalesce(F.col("tab_severity") == "CRITICAL", F.lit(False))).alias("rejected"),
+        F.lit(False).alias("load_failed"), F.lit(None).cast("string").alias("error_message"))
+    outcome = cut_lineage(outcome, "ingest_csv_outcome")
+    loaded_path = None
+    if write:
+        loaded_path = tables_path or scratch_path(spark, "tables")
+        ok = bounded_broadcast(outcome.where(~F.col("rejected")).select("batch_id"))
+        out = rows.join(ok, "batch_id", "left_semi")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("table_name", "batch_id").parquet(f"{loaded_path}/_csv")
+    opened = M.open_manifest(f.where(F.col("reason").isNull() & ~F.col("already_processed")))
+    closed = M.close_manifest(opened, outcome)
+    res = f.join(closed.select("batch_id", F.col("status").alias("_ms"), F.col("total_records").alias("_rows"),
+                               F.col("error_message").alias("_merr")), "batch_id", "left")
+    status = F.when(F.col("reason").isNotNull(), F.lit("FAILED")) \
+        .when(F.col("already_processed"), F.lit("DUPLICATE")) \
+        .when(F.col("_ms") == "COMPLETED", F.lit("SUCCESS")).otherwise(F.lit("FAILED"))
+    results = res.select("batch_id", "parent_batch_id", F.col("file_name").alias("filename"), "table_name",
+                         status.alias("status"),
+                         F.when(status == "SUCCESS", F.col("_rows")).otherwise(F.lit(0)).cast("long").alias("rows_loaded"),
+                         F.coalesce(F.col("reason"), F.col("_merr")).alias("error_message"), "original_batch_id")
+    return IngestResult(manifest=closed, results=results, issues=issues, loaded_path=loaded_path)

@@ -114,3 +114,27 @@ def test_archive_already_processed(spark, tmpdir_path):
     assert len(d) == 1 and d[0].processing_status == "ALREADY_PROCESSED" and d[0].manifest_status == "DUPLICATE"
     assert d[0].total_records == 2
     assert again.results.count() == 0
+
+
+def test_ingest_csv_with_header(spark, tmpdir_path):
+    from lineforge.plans.ingest import ingest_csv
+    src = os.path.join(tmpdir_path, "csv")
+    os.makedirs(src)
+    with open(os.path.join(src, "customer-data@2024.csv"), "w") as fh:
+        fh.write('Order ID, Customer Name ,Price\n1001,"Doe, John",1200.00\n1002,Ann\n')
+    with open(os.path.join(src, "PM162.csv"), "w") as fh:
+        fh.write("a,b\n1,2\n")
+    files, lines = _files_and_lines(spark, src)
+    out = os.path.join(tmpdir_path, "t")
+    res = ingest_csv(files, lines, rules_df(spark), tables_path=out)
+    r = {x.filename: x for x in res.results.collect()}
+    assert r["customer-data@2024.csv"].status == "SUCCESS" and r["customer-data@2024.csv"].rows_loaded == 2
+    assert r["customer-data@2024.csv"].table_name == "customer_data_2024"
+    # PM162.csv is validated by tabs (every line lacks 16 tabs) yet loads; errors only keep CLEAN
+    assert r["PM162.csv"].status == "SUCCESS"
+    man = {m.file_name: m for m in res.manifest.collect()}
+    assert man["PM162.csv"].error_count == 2 and man["PM162.csv"].data_quality_status == "CLEAN"
+    rows = spark.read.parquet(os.path.join(out, "_csv")).where(F.col("table_name") == "customer_data_2024") \
+        .orderBy("line_number").collect()
+    assert rows[0].row == {"order id": "1001", "customer name": "Doe, John", "price": "1200.00"}
+    assert rows[1].row == {"order id": "1002", "customer name": "Ann", "price": None}
