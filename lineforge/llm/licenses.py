@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small
+
 SHINGLE, WIDTH, BANDS, MIN_SHARE = 3, 16, 32, 0.8
 STEP = WIDTH // 2
 
@@ -50,15 +52,15 @@ TEMPLATES = {
 }
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of the text's runs of ``SHINGLE`` words, in order."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+", " "), " "), lambda w: w != "")
-    return words
+#: Templates are a few hundred lines at most; beyond so many band rows they are joined by shuffle.
+BROADCAST_BANDS = 500_000
 
 
 def shingled(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and s, the shingle hashes of ``text`` in order (empty below ``SHINGLE`` words)."""
-    hashed = rows.select(*keys, F.transform(shingles(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    """keys and s, the hashes of the text's runs of ``SHINGLE`` words in order (none below ``SHINGLE`` words)."""
+    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{Nd}]+", " ")
+    hashed = rows.select(*keys, F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("h"))
+    # no filter on a computed array: the optimiser would push it down and compute the array again in each lambda call
     return hashed.select(*keys, F.when(F.size("h") >= SHINGLE, F.transform(
         F.sequence(F.lit(0), F.size("h") - SHINGLE),
         lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(SHINGLE)]))).otherwise(F.array().cast("array<bigint>")).alias("s"))
@@ -70,7 +72,42 @@ def bands(part: Column) -> Column:
         b, F.array_min(F.transform(part, lambda x: F.xxhash64(x, b)))))
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, t (distinct shingles): one row per template; the table is as small as the dictionary."""
+def window_numbers(size: Column) -> Column:
+    """0 to the last window that begins inside, the first one always."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((size - 1 - STEP) / STEP).cast("int")))
+
+
+def template_rows(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """license, t (distinct shingles), n (shingles in order), s: one row per template of ``SHINGLE`` words or more."""
     rows = spark.createDataFrame(list(templates.items()), "license string, text string")
-    return shingled(rows, ["license"]).select("license", F.array_distinct("s").alias("t"), F.col("s").alias("order")).where(F.size("s") > 0)
+    return shingled(rows, ["license"]).select("license", F.array_distinct("s").alias("t"), F.size("s").alias("n"), "s").where("n > 0")
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_share: float = MIN_SHARE) -> DataFrame:
+    """doc_id, text_hash, license, share and place (word number) of every license found, at its best place."""
+    spark = docs.sparkSession
+    table = template_rows(spark, templates)
+    known = [r.x for r in table.select(F.explode("t").alias("x")).distinct().collect()]  # as many as the templates' words
+    longest = max((len(t.split()) for t in templates.values()), default=0)
+    sought = small(table.select("license", "t", "n", F.explode(window_numbers(F.size("s"))).alias("k"), "s")
+                   .select("license", "t", "n", F.explode(bands(F.slice("s", F.col("k") * STEP + 1, F.lit(WIDTH)))).alias("band")),
+                   BROADCAST_BANDS)
+
+    keys = ["doc_id", "text_hash"]
+    rows = shingled(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), keys)
+    # places of shingles that some template has; most documents have none and end here
+    held = rows.select(*keys, "s", F.filter(F.transform("s", lambda x, i: F.when(x.isin(known), i)), lambda i: i.isNotNull()).alias("hits"))
+    near = held.select(*keys, "s", F.explode_outer(F.array_distinct(F.flatten(F.transform("hits", lambda i: F.array(
+        F.greatest(F.lit(0), F.floor(i / STEP).cast("int") - 1), F.floor(i / STEP).cast("int")))))).alias("k")).where("k IS NOT NULL")
+    start = F.greatest(F.lit(0), F.col("k") * STEP - longest)
+    around = near.select(*keys, "k", start.alias("first"), F.slice("s", start + 1, F.lit(WIDTH + 2 * longest)).alias("part"),
+                         bands(F.slice("s", F.col("k") * STEP + 1, F.lit(WIDTH))).alias("bands"))
+    met = around.select(*keys, "k", "first", "part", F.explode_outer("bands").alias("band")).join(sought, "band")
+    begin = F.greatest(F.lit(0), F.col("k") * STEP - F.col("n"))
+    stretch = met.select(*keys, "license", "t", begin.alias("begin"),
+                         F.slice("part", begin - F.col("first") + 1, F.lit(WIDTH) + 2 * F.col("n")).alias("part"))
+    checked = stretch.select(*keys, "license", (F.size(F.array_intersect("part", "t")) / F.size("t")).alias("share"),
+                             (F.col("begin") + F.array_min(F.filter(F.transform("part", lambda x, i: F.when(F.array_contains("t", x), i)),
+                                                                    lambda i: i.isNotNull()))).alias("place")).where(F.col("share") >= min_share)
+    best = checked.groupBy(*keys, "license").agg(F.max(F.struct("share", (-F.col("place")).alias("back"))).alias("best"))
+    return best.select(*keys, "license", "best.share", (-F.col("best.back")).alias("place"))
