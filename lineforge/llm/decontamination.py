@@ -60,15 +60,17 @@ def windows(rows: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame
 
     ``slots`` has the window's words with plain ones left empty; null when it has no placeholder.
     """
-    tokens = rows.select(*keys, words(F.col("text")).alias("w")).where(F.size("w") >= window)
+    # no filter stands on a computed array, and none is inferred from an outer generator: the optimiser
+    # would push it down and compute the array again inside each lambda call
+    tokens = rows.select(*keys, words(F.col("text")).alias("w"))
     formed = tokens.select(*keys, "w", F.transform("w", lambda w, i: template(w, F.get("w", i - 1))).alias("t"))
     values = F.when(F.exists("t", lambda t: t.startswith("<")),
                     F.zip_with("w", "t", lambda w, t: F.when(w == t, F.lit("")).otherwise(w)))
     hashed = formed.select(*keys, F.transform("t", lambda t: F.xxhash64(t)).alias("h"), values.alias("v"))
-    spots = F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda i: F.struct(
+    spots = F.when(F.size("h") >= window, F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda i: F.struct(
         i.alias("place"), F.xxhash64(*[F.get("h", i + k) for k in range(window)]).alias("hash"),
-        F.when(F.col("v").isNotNull(), F.slice("v", i + 1, F.lit(window))).alias("slots")))
-    out = hashed.select(*keys, F.inline(spots))
+        F.when(F.col("v").isNotNull(), F.slice("v", i + 1, F.lit(window))).alias("slots"))))
+    out = hashed.select(*keys, F.inline_outer(spots)).where("hash IS NOT NULL")
     return out.withColumn("slots", F.when(F.exists("slots", lambda v: v != ""), F.col("slots")))
 
 
