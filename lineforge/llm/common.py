@@ -108,3 +108,17 @@ def with_text(df: DataFrame, rewrite: Callable[[str], str]) -> DataFrame:
 
 def no_nulls(text: str | None) -> str:
     return "" if text is None else text
+
+
+def released(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df``, a written table, after its step's shuffle files have been let go.
+
+    Spark drops shuffle files when the driver collects the objects that own
+    them; asking for it between steps keeps one step's files on the
+    executors' disks rather than all steps'.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return df
