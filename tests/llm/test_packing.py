@@ -65,3 +65,15 @@ def test_repeated_rows_are_packed_each(spark):
     rows = P.pack(frame, PATH, 4).collect()
     assert sum(r.length for r in rows) == 3 * 4 + 2
     assert {r.doc_id for r in rows} == {1, None}
+
+
+def test_words_cut_here_have_the_tokenizers_ids():
+    plain, words = Tokenizer.from_file(PATH), P.WordIds(PATH)
+    assert words.cut is not None
+    import itertools
+    import random
+    rng = random.Random(4)
+    texts = ["".join(x) for x in itertools.product("aZ9'.é<|s ", repeat=4)]
+    texts += ["".join(chr(rng.choice([rng.randint(0, 127), rng.randint(0, 127), rng.randint(128, 0x2FFF)])) for _ in range(rng.randint(1, 20))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(words.of(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
