@@ -8,6 +8,7 @@ folder lookup used to cut lineage between the gated stages.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,6 +27,10 @@ DEFAULT_CONF = {
 }
 
 
+# Scratch folders of local applications that name none.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(master: str | None = None, app: str = "lineforge",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
@@ -51,17 +56,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set by the deployment (a shared file system
-    every executor can reach).  Only when it is unset -- local runs and
-    tests -- a private scratch folder is created and registered.
+    every executor can reach); it is an error there to leave it unset.  Only
+    in local mode, where driver and executors are one process, a private
+    scratch folder is made once per application.
     """
+    sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="lineforge-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # noqa: BLE001 -- core confs may be read-only at run time
-            pass
-    sc = spark.sparkContext
+        if not re.match(r"local(\[[^]]*\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if sc.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="lineforge-ckpt-")
+        current = _LOCAL_FOLDERS[sc.applicationId]
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current
