@@ -78,11 +78,14 @@ def test_archives(spark, tmpdir_path):
         z.writestr("readme.md", "ignored")
     with zipfile.ZipFile(os.path.join(src, "empty.zip"), "w") as z:
         z.writestr("notes.txt", "nothing")
+    with open(os.path.join(src, "broken.zip"), "wb") as fh:
+        fh.write(b"PK\x03\x04 not an archive")
     archives = FS.binary_files(spark, src, glob="*.zip")
     per_entry, summary = archive_analysis(archives)
     s = {os.path.basename(r.archive): r for r in summary.collect()}
     assert s["good.zip"].extraction_status == "SUCCESS" and s["good.zip"].total_files_extracted == 4
     assert s["empty.zip"].extraction_status == "NO_CSV_FILES_FOUND"
+    assert s["broken.zip"].extraction_status == "EXTRACTION_FAILED"
     assert s["empty.zip"].processing_recommendations == [
         "No CSV files found in ZIP. Please ensure ZIP contains CSV files."]
     entries = {r.file_name: r for r in per_entry.collect()}
@@ -93,11 +96,14 @@ def test_archives(spark, tmpdir_path):
     assert results["PM162.txt"].status == "FAILED"
     assert results["PM162.txt"].error_message == "File not found in extracted directory"
     roll = sorted(res.rollup.collect(), key=lambda r: -r.total_files)
-    assert len(roll) == 2
+    assert len(roll) == 3
     assert roll[0].processing_status == "PARTIAL_SUCCESS" and roll[0].total_rows_loaded == 4
-    assert roll[1].total_files == 0 and roll[1].processing_status == "SUCCESS"   # archive without data entries
-    parent = res.parents.where(F.col("file_name") == "good.zip").collect()[0]
-    assert parent.status == "COMPLETED" and parent.total_records == 4
+    # an archive without a routed entry, or one that cannot be read, is one failed file
+    assert all(r.total_files == 0 and r.failed_files == 1 and r.processing_status == "FAILED" for r in roll[1:])
+    parents = {r.file_name: r for r in res.parents.collect()}
+    assert parents["good.zip"].status == "COMPLETED" and parents["good.zip"].total_records == 4
+    assert parents["empty.zip"].status == parents["broken.zip"].status == "FAILED"
+    assert "BadZipFile" in parents["broken.zip"].error_message
 
 
 def test_archive_already_processed(spark, tmpdir_path):
