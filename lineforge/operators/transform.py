@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +65,26 @@ register_transform("im2", lambda line, n: tx.im2_transform(line), keeps_lines=Tr
 register_transform("noop", lambda line, n: line, keeps_lines=True)
 
 
+def python_transform(fn: Callable[[str, int], str | None]) -> Transform:
+    """A per-line Python function as a transform: Arrow batches, and a line on which it raises is kept as it is."""
+    @F.pandas_udf("string")
+    def run(lines: pd.Series, numbers: pd.Series) -> pd.Series:
+        def one(line, number):
+            try:
+                return None if line is None else fn(line, number)
+            except Exception:  # noqa: BLE001 -- the contract: a failing transform leaves its line unchanged
+                return line
+        return pd.Series([one(x, n) for x, n in zip(lines, numbers)], dtype=object)
+
+    return run
+
+
 def transform_name(enabled_col: str = "enable_data_transformation",
-                   name_col: str = "transformer_class_name") -> Column:
-    """The registry key to apply: NULL when disabled, blank or unknown (noop)."""
+                   name_col: str = "transformer_class_name",
+                   registry: dict[str, Transform] | None = None) -> Column:
+    """The registry key to apply: NULL when disabled, blank or not in ``registry`` (noop)."""
     key = normalized_name_col(name_col)
-    known = key.isin(*[k for k in _REGISTRY if k != "noop"])
+    known = key.isin(*[k for k in (_REGISTRY if registry is None else registry) if k != "noop"])
     return F.when(F.coalesce(F.col(enabled_col), F.lit(False)) & known, key)
 
 
@@ -76,11 +92,13 @@ def apply_transform(df: DataFrame, line_col: str = "fixed_line", out_col: str =
                     registry: dict[str, Transform] | None = None) -> DataFrame:
     """Apply the rule-selected transform to ``line_col`` as ``out_col``.
 
-    Expects the rule columns of :func:`validate.rule_join`.  Lines whose
-    transform yields NULL are dropped; noop rules add no work.
+    Expects the rule columns of :func:`validate.rule_join`.  ``registry``
+    replaces the global one; a rule whose transform it lacks leaves its lines
+    unchanged.  Lines whose transform yields NULL are dropped; noop rules add
+    no work.
     """
-    reg = registry or _REGISTRY
-    key = transform_name()
+    reg = _REGISTRY if registry is None else {normalize_name(k): fn for k, fn in registry.items()}
+    key = transform_name(registry=reg)
     line, num = F.col(line_col), F.col("line_number")
     expr = None
     for name, fn in reg.items():
@@ -90,7 +108,7 @@ def apply_transform(df: DataFrame, line_col: str = "fixed_line", out_col: str =
                 else expr.when(key == name, fn(line, num)))
     out = line if expr is None else F.when(key.isNull(), line).otherwise(expr)
     res = df.withColumn("transform_key", key).withColumn(out_col, out)
-    if all(name in _KEEPS_LINES for name in reg):
+    if all(name in _KEEPS_LINES and fn is _REGISTRY.get(name) for name, fn in reg.items()):
         return res
     # Drop lines whose transform returned NULL.  An explode of a zero-or-one
     # element array instead of a filter: Catalyst pushes filters below the

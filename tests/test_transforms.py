@@ -95,3 +95,25 @@ def test_user_transform_can_drop_lines(spark):
     TR.register_transform("dropx", reg["dropx"])
     out = TR.apply_transform(v).orderBy("line_number").collect()
     assert [r.out_line for r in out] == ["Y\tA\tB\tC"]
+
+
+def _ruled(spark):
+    return spark.createDataFrame(
+        [("b", 1, "one", True, "mine"), ("b", 2, "two", True, "pm1"), ("b", 3, "bad", True, "MineTransformer"), ("b", 4, "four", False, "mine")],
+        "batch_id string, line_number long, fixed_line string, enable_data_transformation boolean, transformer_class_name string")
+
+
+def test_a_passed_registry_is_honoured(spark):
+    out = TR.apply_transform(_ruled(spark), registry={"mine": lambda line, n: F.upper(line)})
+    assert {r.line_number: r.out_line for r in out.collect()} == {1: "ONE", 2: "two", 3: "BAD", 4: "four"}
+    assert TR.apply_transform(_ruled(spark), registry={}).count() == 4
+
+
+def test_a_failing_python_transform_keeps_the_line(spark):
+    def shout(line, number):
+        if line == "bad":
+            raise ValueError(line)
+        return None if number == 9 else line.upper() + str(number)
+
+    out = TR.apply_transform(_ruled(spark), registry={"mine": TR.python_transform(shout)})
+    assert {r.line_number: r.out_line for r in out.collect()} == {1: "ONE1", 2: "two", 3: "bad", 4: "four"}
