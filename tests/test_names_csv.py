@@ -96,3 +96,34 @@ def test_detect_format(spark):
                                 ("x", "json")], "n string, r string")
     got = [r.f for r in df.select(N.detect_format("n", "r").alias("f")).collect()]
     assert got == ["tsv", "csv", "tsv", "tsv", "invalid"]
+
+
+def toggled(line):
+    """The quote-toggle reading, character by character."""
+    fields, field, inside, i = [], [], False, 0
+    while i < len(line):
+        c = line[i]
+        if c == '"' and inside and line[i + 1:i + 2] == '"':
+            field.append(c)
+            i += 1
+        elif c == '"':
+            inside = not inside
+        elif c == "," and not inside:
+            fields.append("".join(field))
+            field = []
+        else:
+            field.append(c)
+        i += 1
+    return [f.strip(" ") for f in [*fields, "".join(field)]]
+
+
+def test_csv_parse_matches_toggle_reading_and_is_linear(spark):
+    import random
+
+    from lineforge.functions import csvtext as CV
+    rng = random.Random(7)
+    lines = ["".join(rng.choice('ab", "') for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    lines += ['"' + "x," * 500_000 + '"', ",".join('"a,b"' for _ in range(20_000)), '"' + '""' * 4_000 + '"']
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    for r in df.select("line", CV.csv_row_parse("line").alias("f")).collect():
+        assert r.f == toggled(r.line), r.line[:80]
