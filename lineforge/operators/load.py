@@ -62,6 +62,10 @@ def bind_columns(first: DataFrame, table_col: str = "table_name", batch: str = "
     )
 
 
+# A date, or a date and time with or without a fraction.
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
+
+
 def _varchar(v: Column, n: int) -> tuple[Column, Column]:
     """Store rule: longer than n is an error unless the excess is all spaces."""
     fits = F.length(v) <= n
@@ -72,11 +76,12 @@ def _varchar(v: Column, n: int) -> tuple[Column, Column]:
 
 
 def _timestamp0(v: Column) -> Column:
-    """Parse ``yyyy/MM/dd`` or ``yyyy-MM-dd HH:mm:ss`` (or ISO) and round half-up to seconds."""
+    """Parse ``yyyy/MM/dd``, ``yyyy-MM-dd HH:mm:ss`` or ISO dates and times (fractions too), rounded half-up to seconds."""
     t = F.coalesce(F.try_to_timestamp(v, F.lit("yyyy/MM/dd")),
                    F.try_to_timestamp(v, F.lit("yyyy-MM-dd HH:mm:ss")),
                    F.try_to_timestamp(v, F.lit("yyyy/MM/dd HH:mm:ss")))
-    t = t.cast("timestamp_ntz")
+    iso = F.when(v.rlike(ISO_TIME), v.try_cast("timestamp_ntz"))
+    t = F.coalesce(t.cast("timestamp_ntz"), iso)
     return F.date_trunc("second", t + F.expr("INTERVAL '0.5' SECOND")).cast("timestamp_ntz")
 
 

@@ -127,3 +127,13 @@ def test_archive_rollup_goldens(spark):
     assert s["p3"].tables_ready_for_production == 0 and s["p3"].tables_requiring_review == 1
     texts = {x.issue for x in M.validation_summary_issues(res).collect()}
     assert "File a contains no data rows" in texts and "Failed to process: b - boom" in texts
+
+
+def test_iso_timestamps_round_half_up(spark):
+    from lineforge.operators import load as LD
+    cases = {"2024-01-15": "2024-01-15 00:00:00", "2024-01-15 10:00:00.6": "2024-01-15 10:00:01",
+             "2024-01-15T10:00:00": "2024-01-15 10:00:00", "2024/01/15": "2024-01-15 00:00:00", "2024": None, "soon": None,
+             "2024-13-01": None}
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    got = {r.v: r.t for r in df.select("v", LD._timestamp0(F.col("v")).cast("string").alias("t")).collect()}
+    assert got == cases
