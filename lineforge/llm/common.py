@@ -43,6 +43,22 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def training_labels(labels: DataFrame, max_rows: int) -> DataFrame:
+    """doc_id and quality of at most ``max_rows`` labelled documents, chosen by a hash of doc_id.
+
+    Rows without a doc_id or quality and those of the held-out fold (crc32 of
+    doc_id as text, modulo 5, is 0) never train.  Of several labels of a
+    document the least counts.  A threshold on the hash thins the rows before
+    the bound is applied, so no task sorts or sends more than about the bound.
+    """
+    rows = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 <> 0")
+            .groupBy("doc_id").agg(F.min("quality").alias("quality")))
+    n = rows.count()
+    if n > max_rows:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str | T.StructType,
              rows_of: Callable[..., Iterator[tuple]]) -> DataFrame:
     """Apply ``rows_of(*values) -> tuples`` to each row's ``columns``, in Arrow batches.

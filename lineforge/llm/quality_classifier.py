@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, no_nulls, pieces, to_arrow
+from .common import map_rows, no_nulls, pieces, to_arrow, training_labels
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
@@ -165,17 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
     Only the sample's bucket numbers reach the driver.
     """
-    sample = (labels.where(f"doc_id IS NOT NULL AND quality IS NOT NULL AND {FOLDS} <> 0")
-              .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    rows_in = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows_in = docs.select("doc_id", "text").join(F.broadcast(training_labels(labels, max_rows)), "doc_id")
 
     def rows(doc_id, quality, text, hashes=Hashes()):
         yield doc_id, quality, features(no_nulls(text), hashes).tobytes()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = map_rows(rows_in, ["doc_id", "quality", "text"], f"doc_id {kind}, quality int, buckets binary", rows).collect()
-    got.sort(key=lambda x: (xxhash.xxh64_intdigest(str(x.doc_id)), x.buckets))
+    got = map_rows(rows_in, ["doc_id", "quality", "text"], f"doc_id {kind}, quality int, buckets binary", rows)
+    got = got.groupBy("doc_id", "quality").agg(F.min("buckets").alias("buckets")).collect()  # one row a doc_id
+    got.sort(key=lambda x: xxhash.xxh64_intdigest(str(x.doc_id)))
     return fit([np.frombuffer(x.buckets, np.int32) for x in got], np.array([x.quality == 1 for x in got], bool))
 
 

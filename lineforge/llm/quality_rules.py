@@ -17,10 +17,11 @@ import re
 from typing import NamedTuple
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, map_rows, no_nulls
+from .common import ASCII_SPACE, map_rows, no_nulls, training_labels
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
          "n_lines", "n_distinct", "n_same", "n_upper", "n_marks", "n_bare")
@@ -112,15 +113,15 @@ def base_failed() -> Column:
 
 
 def labelled(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and quality of at most ``max_rows`` labelled rows outside the held-out fold.
+    """Features and quality of at most ``max_rows`` labelled documents outside the held-out fold.
 
     Rows that fail the base rule are left out: the list judges only the others.
     Statistics are a few numbers a row, so the bound holds for bytes too.
     """
-    marks = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 <> 0")
-             .groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    rows = (stats.where(~base_failed()).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-            .selectExpr("quality", *(f"CAST({sql} AS DOUBLE) AS {name}" for name, sql in FEATURES.items())).collect())
+    rows = (stats.where(~base_failed()).join(F.broadcast(training_labels(labels, max_rows)), "doc_id")
+            .selectExpr("doc_id", "quality", *(f"CAST({sql} AS DOUBLE) AS {name}" for name, sql in FEATURES.items()))
+            .groupBy("doc_id").agg(F.min(F.struct("quality", *FEATURES)).alias("x")).select("doc_id", "x.*").collect())  # one row a doc_id
+    rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r.doc_id)))
     x = np.array([[r[name] for name in FEATURES] for r in rows], float).reshape(len(rows), len(FEATURES))
     return x, np.array([r.quality for r in rows], int)
 
