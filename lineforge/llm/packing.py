@@ -14,6 +14,9 @@ span many windows.  Extra columns never reach the worker.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +30,8 @@ from .common import as_batch, no_nulls, pieces, small, to_arrow, written
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a worker remembers at a time.
-MEMORY = 300_000
+#: Words whose ids a worker remembers in each of two generations.
+MEMORY = 250_000
 #: Partitions whose totals are summed in one group; the groups' totals are summed over all groups.
 BLOCK = 1024
 #: At most so many partition offsets (two numbers each) are broadcast.
@@ -39,33 +42,73 @@ class WordIds:
     """Ids of texts by a tokenizer whose tokens never cross white space, with words remembered.
 
     Only the blank and the line feed split a text here; other white space
-    stays inside a chunk for the tokenizer to treat.
+    stays inside a chunk for the tokenizer to treat.  Where the vocabulary
+    file says how a word is cut (lower case, then one expression), plain ASCII
+    words are cut here, so that "The", "the" and "the," share one model call.
+    Words not met since the memory last filled up are forgotten first.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def of(self, text: str) -> np.ndarray:
-        chunks = [c for c in text.replace("\n", " ").split(" ") if c]
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        self.cut = ascii_cut(json.loads(self.tokenizer.to_str()))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def of(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        chunks = text.replace("\n", " ").split(" ")
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
+        if len(self.parts) > MEMORY:
+            self.parts = {}
+        known, new = self.known, []
+        for c in set(chunks):
+            if c not in known:
+                if (ids := self.older.get(c)) is not None:
+                    known[c] = ids
+                elif self.cut and c.isascii() and c.isprintable() and "<|" not in c:
+                    known[c] = self.plain(c.lower())
+                else:
+                    new.append(c)
         for at in range(0, len(new), 1024):
             part = new[at:at + 1024]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[c] = np.array(e.ids, np.uint32)
-        return np.concatenate([known[c] for c in chunks]) if chunks else np.zeros(0, np.uint32)
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[c] = np.array(e.ids, "<u4").tobytes()
+        return b"".join([known[c] for c in chunks])
+
+    def plain(self, word: str) -> bytes:
+        """Ids of a lower-case word of printable ASCII, by its parts."""
+        out = []
+        for part in [word] if word.isalpha() and "'" not in word else self.cut.findall(word):
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self.parts[part] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(part))
+            out.append(ids)
+        return b"".join(out)
+
+
+def ascii_cut(spec: dict) -> re.Pattern | None:
+    """The expression that cuts ASCII words, if the vocabulary file has lower case and one expression alone."""
+    normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+        return None
+    split, level = steps
+    if not (split.get("invert") and split["behavior"] == "Removed" and "Regex" in split["pattern"]) or level["use_regex"] or level["add_prefix_space"]:
+        return None
+    shape = split["pattern"]["Regex"].replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
+    return None if r"\p" in shape else re.compile(shape)
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """part, doc_id, before (ids before it in its part), n_ids, ids (little-endian 32 bit); written once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = T._parse_datatype_string(f"part long, doc_id {kind}, before long, n_ids long, ids binary")
-    arrow = to_arrow(schema)
+    arrow, end = to_arrow(schema), np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part, before = WordIds(path), TaskContext.get().partitionId(), 0
@@ -73,9 +116,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         size = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), pieces(batch.column(1))):
-                ids = np.append(ids_of.of(no_nulls(text)), np.uint32(end_id)).astype("<u4")
-                rows.append((part, doc_id, before, len(ids), ids.tobytes()))
-                before, size = before + len(ids), size + ids.nbytes
+                ids = ids_of.of(no_nulls(text)) + end
+                rows.append((part, doc_id, before, len(ids) // 4, ids))
+                before, size = before + len(ids) // 4, size + len(ids)
                 if size > 4 << 20 or len(rows) >= 4096:
                     yield as_batch(rows, arrow)
                     rows, size = [], 0
