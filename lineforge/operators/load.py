@@ -185,6 +185,15 @@ def row_number_assign(df: DataFrame, start: int = 0) -> DataFrame:
     return df.withColumn("row_number", F.lit(start) + F.monotonically_increasing_id() + 1)
 
 
+def last_row_number(spark, path: str) -> int:
+    """The highest ``row_number`` in a table folder; 0 when there is none yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return 0
+    rows = spark.read.parquet(path)
+    return (rows.agg(F.max("row_number")).first()[0] or 0) if "row_number" in rows.columns else 0
+
+
 def batch_load(typed: DataFrame, table: str, path: str | None = None, run_id: str | None = None) -> DataFrame:
     """Write the rows of every passing batch to the table folder, all or nothing per batch.
 
@@ -194,12 +203,14 @@ def batch_load(typed: DataFrame, table: str, path: str | None = None, run_id: st
     per-batch loaded row counts read back from what was written.
     """
     spark = typed.sparkSession
-    path = path or scratch_path(spark, f"tables/{table}")
     run_id = run_id or uuid.uuid4().hex
+    path = path or scratch_path(spark, f"tables/{run_id}/{table}")
     gate = load_gate(typed)
     good = passing_rows(typed, gate).drop("violations", "line_number")
-    good = row_number_assign(good).withColumn(
+    good = row_number_assign(good, last_row_number(spark, path)).withColumn(
         "loaded_at", F.lit(F.current_timestamp()).cast("timestamp_ntz")).withColumn("load_run", F.lit(run_id))
+    # a batch's rows meet in few tasks (a large batch in several), so files grow with the data, not with tasks x batches
+    good = good.hint("rebalance", "batch_id")
     # dynamic partition overwrite: re-running a batch replaces its folder, other batches stay
     good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
     loaded = spark.read.parquet(path).where(F.col("load_run") == run_id)

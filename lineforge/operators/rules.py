@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast
@@ -15,7 +15,8 @@ def rule_upsert(existing: DataFrame, updates: DataFrame) -> DataFrame:
 
     A full outer join on the pattern with per-column preference for the new
     value; ``action`` tells inserted / updated / unchanged.  New rows get ids
-    after the current maximum.
+    after the current maximum, by pattern.  (The table has one row per file
+    pattern, so the numbering window is small.)
     """
     cols = [c for c in existing.columns if c not in (KEY, "id")]
     u = updates.select(KEY, *[F.col(c).alias(f"_n_{c}") for c in cols if c in updates.columns],
@@ -25,7 +26,11 @@ def rule_upsert(existing: DataFrame, updates: DataFrame) -> DataFrame:
              else F.col(c)).alias(c) for c in cols]
     action = F.when(F.col("_old").isNull(), F.lit("inserted")) \
         .when(F.col("_upd").isNotNull(), F.lit("updated")).otherwise(F.lit("unchanged"))
-    return j.select("id", KEY, *pick, action.alias("action"))
+    last = existing.agg(F.max("id")).first()[0] or 0
+    new = F.col("_old").isNull()
+    after = F.sum(new.cast("int")).over(Window.partitionBy(new).orderBy(KEY).rowsBetween(Window.unboundedPreceding, 0))
+    number = F.when(new, F.lit(last) + after).otherwise(F.col("id")).cast(existing.schema["id"].dataType)
+    return j.select(number.alias("id"), KEY, *pick, action.alias("action"))
 
 
 def rule_toggle(rules: DataFrame, patterns: DataFrame, enabled: bool) -> DataFrame:

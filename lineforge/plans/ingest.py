@@ -155,11 +155,13 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
     loaded_path = None
     if write:
         accepted = bounded_broadcast(accepted)
-        loaded_path = tables_path or scratch_path(spark, "tables")
+        loaded_path = tables_path or scratch_path(spark, f"tables/{run_id}")
         for name, df in typed.items():
             rows = df.join(accepted, "batch_id", "left_semi").drop("violations", "line_number")
-            rows = L.row_number_assign(rows).withColumn(
+            rows = L.row_number_assign(rows, L.last_row_number(spark, f"{loaded_path}/{name}")).withColumn(
                 "loaded_at", F.lit(F.current_timestamp()).cast("timestamp_ntz")).withColumn("load_run", F.lit(run_id))
+            # a batch's rows meet in few tasks (a large batch in several): no file for each task and batch
+            rows = rows.hint("rebalance", "batch_id")
             # dynamic partition overwrite: a retried batch replaces its own folder
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
                 .partitionBy("batch_id").parquet(f"{loaded_path}/{name}")

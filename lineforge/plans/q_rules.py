@@ -42,7 +42,8 @@ def _updates(spark, sf):
 u AS (SELECT file_pattern, CAST(max(length(line) - length(replace(line, chr(9), ''))) % 20 AS INTEGER) AS expected_tab_count,
              FALSE AS auto_fix_enabled FROM lines GROUP BY file_pattern
       UNION ALL SELECT DISTINCT 'DOC_' || upper(lang), 0, TRUE FROM documents)
-SELECT r.id, coalesce(r.file_pattern, u.file_pattern) AS file_pattern, r.table_name,
+SELECT CAST(coalesce(r.id, (SELECT max(id) FROM rules) + row_number() OVER (PARTITION BY r.id IS NULL ORDER BY u.file_pattern)) AS BIGINT) AS id,
+  coalesce(r.file_pattern, u.file_pattern) AS file_pattern, r.table_name,
   coalesce(u.expected_tab_count, r.expected_tab_count) AS expected_tab_count,
   coalesce(u.auto_fix_enabled, r.auto_fix_enabled) AS auto_fix_enabled, r.validation_enabled,
   CASE WHEN r.file_pattern IS NULL THEN 'inserted' WHEN u.file_pattern IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS action
