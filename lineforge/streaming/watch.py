@@ -112,23 +112,25 @@ def watch_folder(spark: SparkSession, upload_dir: str, rules: DataFrame, state_d
     their state is the manifest status (see ``lifecycle_state``).
     """
     from ..functions import names as N
-    from ..plans.archives import ingest_archives
+    from ..operators.common import bounded_broadcast, cut_lineage
+    from ..plans.archives import batch_id_of, ingest_archives
     from ..plans.ingest import ingest_files
     from ..sources import files as FS
     from .folders import marker_gate
 
     paths = {x: f"{state_dir}/{x}" for x in ("manifest", "results", "issues", "markers")}
 
-    def read(name):
-        try:
-            return spark.read.parquet(paths[name])
-        except Exception:  # noqa: BLE001 -- nothing written yet
+    def read(name, epoch):
+        """What earlier micro-batches wrote: one that is replayed must not meet its own output."""
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths[name])
+        if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
             return None
+        return spark.read.parquet(paths[name]).where(F.col("epoch_id") < epoch).drop("epoch_id", "part")
 
     def process(_trigger: DataFrame, epoch: int) -> None:
         listing = list_folder(spark, upload_dir)
         markers = listing.where(F.col("file_name").endswith(".done"))
-        seen = read("markers")
+        seen = read("markers", epoch)
         if seen is not None:
             markers = markers.join(seen.select("path", "mtime"), ["path", "mtime"], "left_anti")
         markers = markers.cache()
@@ -140,14 +142,19 @@ def watch_folder(spark: SparkSession, upload_dir: str, rules: DataFrame, state_d
         ready = data.join(gated.where(F.col("action") == "process").select(F.col("data_name").alias("file_name")),
                           "file_name", "left_semi")
         ext = F.lower(N.file_extension("file_name"))
-        manifest = read("manifest")
+        manifest = read("manifest", epoch)
         outs, runs = [], []
         plain = [r.path for r in ready.where(ext == "").select("path").collect()]   # the released names
         if plain:
-            files = FS.file_checksums(FS.binary_files(spark, plain)).select(
-                F.col("path").alias("batch_id"), "file_name", F.col("length").alias("file_size_bytes"),
-                "file_checksum", F.col("modification_time").cast("long").alias("arrival"))
-            lines = FS.line_scan(spark, plain).select(F.col("file_path").alias("batch_id"), "line_number", "line")
+            # names are delivered again with other content: content, path and time make the batch
+            files = cut_lineage(FS.file_checksums(FS.binary_files(spark, plain)).select(
+                "path", batch_id_of("file_checksum", "path", F.col("modification_time").cast("string")).alias("batch_id"),
+                "file_name", F.col("length").alias("file_size_bytes"),
+                "file_checksum", F.col("modification_time").cast("long").alias("arrival")), "watch_files")
+            lines = FS.line_scan(spark, plain).join(
+                bounded_broadcast(files.select(F.col("path").alias("file_path"), "batch_id")), "file_path") \
+                .select("batch_id", "line_number", "line")
+            files = files.drop("path")
             run = ingest_files(files, lines, rules, manifest=manifest, tables_path=tables_path)
             outs.append((run.manifest, run.results, run.issues))
             runs.append(run)
