@@ -48,6 +48,8 @@ BATCH_BYTES, MANY = 1 << 20, 2_000
 TASK_CONTEXTS = 100_000
 #: Narrow keys are broadcast up to so many rows.
 BROADCAST_KEYS = 1_000_000
+#: Anchors (one long each) are broadcast up to so many.
+BROADCAST_ANCHORS = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 
@@ -166,29 +168,57 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def contexts(docs: DataFrame) -> DataFrame:
-    """anchor, doc_id, hash (of the text), at (first string) and bytes of every context."""
-    schema = T._parse_datatype_string("anchor long, doc_id long, hash long, at long, bytes binary")
-    arrow = to_arrow(schema)
+def contexts(docs: DataFrame, cut: bool = True) -> DataFrame:
+    """anchor, doc_id, hash (of the text), at (first string) and, if ``cut``, bytes of every context.
+
+    Where ``docs`` has a column ``wanted``, only the contexts that start at
+    its places are given.
+    """
+    schema = T._parse_datatype_string("anchor long, doc_id long, hash long, at long" + ", bytes binary" * cut)
+    arrow, chosen = to_arrow(schema), "wanted" in docs.columns
+
+    def batch_of(columns: list[list]) -> pa.RecordBatch:
+        arrays = [pa.array(np.concatenate(c)) for c in columns[:4]]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(columns[4], pa.binary())] if cut else arrays, schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
-            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), pieces(batch.column(2))):
+            size = 0
+            for doc_id, key, text, *wanted in zip(*(pieces(c) for c in batch.columns)):
                 data = no_nulls(text).encode()
-                anchor, at, size = runs(data)
+                anchor, at, many = runs(data)
+                if chosen:
+                    keep = np.isin(at, np.array(wanted[0], np.int64))
+                    anchor, at, many = anchor[keep], at[keep], many[keep]
                 columns[0].append(anchor)
                 columns[1].append(np.full(len(at), doc_id, np.int64))
                 columns[2].append(np.full(len(at), key, np.int64))
                 columns[3].append(at)
-                columns[4] += [data[a:b] for a, b in zip(at.tolist(), (at + size + LENGTH - 1).tolist())]
-                if len(columns[4]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns[:4]), pa.array(columns[4], pa.binary())], schema=arrow)
-                    columns = [[], [], [], [], []]
-            if columns[4]:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns[:4]), pa.array(columns[4], pa.binary())], schema=arrow)
+                if cut:
+                    columns[4] += [data[a:b] for a, b in zip(at.tolist(), (at + many + LENGTH - 1).tolist())]
+                size += len(at)
+                if size > 50_000:
+                    yield batch_of(columns)
+                    columns, size = [[], [], [], [], []], 0
+            if size:
+                yield batch_of(columns)
+
+    return docs.select("doc_id", text_hash(docs).alias("hash"), "text", *["wanted"] * chosen).mapInArrow(run, schema)
+
+
+def held_contexts(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """The contexts of ``common`` anchors.
 
-    return docs.select("doc_id", text_hash(docs).alias("hash"), "text").mapInArrow(run, schema)
+    Anchors beyond the broadcast bound meet narrow rows by a shuffle, and only
+    texts with such contexts are shuffled to be cut.
+    """
+    if common.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS:
+        return contexts(docs).join(F.broadcast(common), "anchor")
+    wanted = (contexts(docs, cut=False).join(common, "anchor").groupBy("doc_id", "hash").agg(F.collect_list("at").alias("wanted"))
+              .withColumnsRenamed({"doc_id": "_doc", "hash": "_hash"}))
+    texts = docs.join(wanted, (docs["doc_id"] == F.col("_doc")) & (text_hash(docs) == F.col("_hash"))).select("doc_id", "text", "wanted")
+    return contexts(texts)
 
 
 def expanded(mixed: DataFrame) -> DataFrame:
@@ -223,7 +253,7 @@ def removed_strings(docs: DataFrame) -> DataFrame:
     common = released(docs.sparkSession, written(
         anchors(docs).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "anchors"))
     held = released(docs.sparkSession, written(
-        contexts(docs).join(small(common, 4 * BROADCAST_KEYS), "anchor").withColumn("context", F.xxhash64("bytes")), "contexts"))
+        held_contexts(docs, common).withColumn("context", F.xxhash64("bytes")), "contexts"))
     distinct = released(docs.sparkSession, written(
         held.groupBy("anchor", "context", "bytes").agg(F.min("doc_id").alias("first")), "distinct"))
 
