@@ -411,8 +411,13 @@ def error_report_list(m: DataFrame) -> DataFrame:
 
 
 def write_error_reports(m: DataFrame, path: str) -> None:
-    """Error reports as JSON lines (one object per failed delivery)."""
-    error_reports(m).select("report.*").write.mode("overwrite").json(path)
+    """Add error reports as JSON lines (one object per failed delivery, with its batch and report name)."""
+    error_reports(m).select("batch_id", "report_name", "report.*").write.mode("append").json(path)
+
+
+def write_done_summaries(m: DataFrame, path: str) -> None:
+    """Add the summary texts of finished deliveries."""
+    done_summaries(m).write.mode("append").parquet(path)
 
 
 # Layout of the per-delivery summary text.

@@ -25,6 +25,11 @@ def validation_report(issues: DataFrame) -> DataFrame:
     )
 
 
+def severity_counts(issues: DataFrame) -> DataFrame:
+    """Issues per batch and severity."""
+    return issues.groupBy("batch_id", "severity").agg(F.count("*").alias("issue_count"))
+
+
 def issues_by_batch(manifest: DataFrame, issues: DataFrame) -> DataFrame:
     """Manifest rows joined with their issues (ordered by line on read)."""
     return manifest.join(issues, "batch_id")
@@ -32,7 +37,6 @@ def issues_by_batch(manifest: DataFrame, issues: DataFrame) -> DataFrame:
 
 def filter_issues(issues: DataFrame, batch_id: str | None = None, severity: str | None = None) -> DataFrame:
     """Issues of one batch and/or one severity (both optional)."""
-    from pyspark.sql import functions as F
     out = issues
     if batch_id is not None:
         out = out.where(F.col("batch_id") == batch_id)

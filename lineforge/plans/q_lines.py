@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import report as RP
 from ..operators import transform as TR
 from ..operators import validate as V
 from . import derived as D
@@ -154,8 +155,7 @@ def q_reject_gate(spark, sf):
 @register("severity_counts", f"""{BASE}, i AS ({O.issues_sql('v')})
 SELECT batch_id, severity, count(*) AS issue_count FROM i GROUP BY batch_id, severity""")
 def q_severity_counts(spark, sf):
-    i = V.validation_issues(validated(spark, sf))
-    return i.groupBy("batch_id", "severity").agg(F.count("*").alias("issue_count"))
+    return RP.severity_counts(V.validation_issues(validated(spark, sf)))
 
 
 @register("validation_report", f"""{BASE}, i AS ({O.issues_sql('v')})

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import names as N
 from ..operators import manifest as M
 from ..operators import validate as V
+from ..session import scratch_path
 from . import derived as D
 from . import oracle as O
 from .registry import register, validated
@@ -461,8 +464,9 @@ SELECT batch_id, file_name || '.error.json' AS report_name, file_name AS file, f
   'Fix the issue and re-upload with .done marker' AS retry_instructions
 FROM m WHERE status = 'FAILED'""")
 def q_error_reports(spark, sf):
-    r = M.error_reports(_m(spark, sf))
-    return r.select("batch_id", "report_name", "report.*")
+    m, out = _m(spark, sf), scratch_path(spark, f"reports/{uuid.uuid4().hex}")
+    M.write_error_reports(m, out)
+    return spark.read.schema(M.error_reports(m).select("batch_id", "report_name", "report.*").schema).json(out)
 
 
 @register("error_report_list", f"""{WM}
@@ -510,4 +514,6 @@ _SUMMARY = (
 @register("done_summary_sink", f"""{WM}
 SELECT batch_id, file_name || '.done' AS summary_name, {_SUMMARY} AS summary FROM m""")
 def q_done_summaries(spark, sf):
-    return M.done_summaries(_m(spark, sf))
+    out = scratch_path(spark, f"summaries/{uuid.uuid4().hex}")
+    M.write_done_summaries(_m(spark, sf), out)
+    return spark.read.parquet(out)

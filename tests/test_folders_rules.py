@@ -53,3 +53,31 @@ def test_varchar_trailing_space_rule(spark):
     df = spark.createDataFrame([("ab   ",), ("abcd",), ("ab",)], "x string")
     rows = df.select(*[c.alias(n) for c, n in zip(L._varchar(F.col("x"), 3), ("v", "bad"))]).collect()
     assert [(r.v, r.bad) for r in rows] == [("ab ", False), (None, True), ("ab", False)]
+
+
+def test_tracking_columns_of_present_tables(spark):
+    from lineforge import schemas
+    from lineforge.operators import tables as TB
+    have = [("pm1", c) for c in schemas.TRACKING_COLUMNS] + [("pm2", "batch_id"), ("pm2", "x")]
+    present = spark.createDataFrame([("pm1",), ("pm2",), ("pm3",)], "table_name string")
+    out = {r.table_name: r for r in TB.required_tables_check(
+        spark, present, ("pm1", "pm2", "pm3", "pm4"), spark.createDataFrame(have, "table_name string, column_name string")).collect()}
+    assert [out[t].action for t in ("pm1", "pm2", "pm3", "pm4")] == ["ok", "add columns", "add columns", "missing"]
+    assert set(out["pm2"].missing_columns) == set(schemas.TRACKING_COLUMNS) - {"batch_id"}
+
+
+def test_reports_and_summaries_add_up(spark, tmpdir_path):
+    import os
+
+    from lineforge.operators import manifest as M
+    m = spark.createDataFrame(
+        [("b1", "PM462", "FAILED", "bad", "d", 10, 5, 7, "pm4"), ("b2", "PM463", "COMPLETED", None, None, 10, 5, 7, "pm4")],
+        "batch_id string, file_name string, status string, error_message string, error_details string, file_size_bytes long, "
+        "total_records long, processing_duration_ms long, table_name string").selectExpr(
+        "*", "timestamp'2024-01-01 00:00:00' AS started_at", "timestamp'2024-01-01 00:00:01' AS completed_at")
+    reports, sums = (os.path.join(tmpdir_path, x) for x in ("reports", "sums"))
+    for _ in range(2):
+        M.write_error_reports(m, reports)
+        M.write_done_summaries(m, sums)
+    assert spark.read.json(reports).count() == 2
+    assert spark.read.parquet(sums).count() == 4
