@@ -85,11 +85,15 @@ def _timestamp0(v: Column) -> Column:
     return F.date_trunc("second", t + F.expr("INTERVAL '0.5' SECOND")).cast("timestamp_ntz")
 
 
-def _typed_parts(table: str, n_bound: Column, raw_of) -> tuple[list[Column], list[Column]]:
-    """Typed value and violation checks per column; ``raw_of(i, col)`` gives the raw text."""
+def _typed_parts(table: str, n_bound: Column, raw_of, is_bound=None) -> tuple[list[Column], list[Column]]:
+    """Typed value and violation checks per column; ``raw_of(i, col)`` gives the raw text.
+
+    The first ``n_bound`` columns are bound, or those of which ``is_bound(i, col)`` holds.
+    """
     out, checks = [], []
+    is_bound = is_bound or (lambda i, c: n_bound > i)
     for i, c in enumerate(schemas.table_columns(table)):
-        raw = F.when(n_bound > i, raw_of(i, c))
+        raw = F.when(is_bound(i, c), raw_of(i, c))
         if c.kind == "varchar":
             val, bad_len = _varchar(raw, c.width)
             checks.append(F.when(bad_len, F.lit(f"{c.name}:LENGTH_VIOLATION")))
@@ -102,7 +106,7 @@ def _typed_parts(table: str, n_bound: Column, raw_of) -> tuple[list[Column], lis
             val = _timestamp0(raw)
             checks.append(F.when(raw.isNotNull() & val.isNull(), F.lit(f"{c.name}:DATA_TYPE_MISMATCH")))
         if c.required:
-            checks.append(F.when((n_bound > i) & raw.isNull(), F.lit(f"{c.name}:EMPTY_REQUIRED_FIELD")))
+            checks.append(F.when(is_bound(i, c) & raw.isNull(), F.lit(f"{c.name}:EMPTY_REQUIRED_FIELD")))
         out.append(val.cast(c.spark_type).alias(c.name))
     return out, checks
 
@@ -125,6 +129,17 @@ def typed_cast(rows: DataFrame, table: str, bound: int | Column | None = None,
     return rows.select(*keep, *out, violations.alias("violations"))
 
 
+def typed_by_name(rows: DataFrame, table: str, names: str = "columns", values: str = "values",
+                  keep=("batch_id", "line_number")) -> DataFrame:
+    """Rows with column ``names`` and their text ``values`` (arrays) as typed columns of ``table``, with ``violations``.
+
+    Columns without a name stay NULL and are not checked.
+    """
+    at = lambda c: F.array_position(names, F.lit(c.name))
+    out, checks = _typed_parts(table, F.lit(0), lambda i, c: F.get(F.col(values), (at(c) - 1).cast("int")), lambda i, c: at(c) > 0)
+    return rows.select(*keep, *out, F.filter(F.array(*checks), lambda x: x.isNotNull()).alias("violations"))
+
+
 def line_violations(lines: DataFrame, tables, line_col: str = "out_line", table_col: str = "table_name",
                     bound_col: str = "bound", keep=("batch_id", "line_number")) -> DataFrame:
     """Typing violations of tab lines bound for different tables, in one pass.

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -50,6 +51,19 @@ def _first_violation_agg():
     return F.min(F.struct("line_number", F.array_join("violations", ", ").alias("v"))).alias("_first")
 
 
+def _quality_aggs() -> list:
+    """Per batch: corrected, warning, error and issue counts, and whether a critical issue rejects it."""
+    ci = lambda c: (F.col(c) > 0).cast("int")
+    n_clean = ci("n_control") + ci("n_non_latin") + ci("n_collapsed")
+    return [
+        F.sum(n_clean + F.col("tab_fixed").cast("int")).cast("long").alias("corrected_records"),
+        F.sum(n_clean + F.col("tab_fixed").cast("int")).cast("int").alias("warning_count"),
+        F.sum((F.col("tab_issue").isNotNull() & ~F.col("tab_fixed")).cast("int")).cast("int").alias("error_count"),
+        F.sum(n_clean + F.col("tab_issue").isNotNull().cast("int")).cast("long").alias("issue_count"),
+        F.max(F.coalesce(F.col("tab_severity") == "CRITICAL", F.lit(False))).alias("rejected"),
+    ]
+
+
 def _typed_by_table(t: DataFrame, tables) -> dict[str, DataFrame]:
     """Typed rows per target table (each batch targets exactly one table)."""
     out = {}
@@ -108,16 +122,7 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
 
     vissues = V.validation_issues(t)
     issues = vissues.unionByName(TR.transform_audit(t))
-    ci = lambda c: (F.col(c) > 0).cast("int")
-    n_clean = ci("n_control") + ci("n_non_latin") + ci("n_collapsed")
-    quality = t.groupBy("batch_id").agg(
-        F.count("*").alias("_lines"),
-        F.sum(n_clean + F.col("tab_fixed").cast("int")).cast("long").alias("corrected_records"),
-        F.sum(n_clean + F.col("tab_fixed").cast("int")).cast("int").alias("warning_count"),
-        F.sum((F.col("tab_issue").isNotNull() & ~F.col("tab_fixed")).cast("int")).cast("int").alias("error_count"),
-        F.sum(n_clean + F.col("tab_issue").isNotNull().cast("int")).cast("long").alias("issue_count"),
-        F.max(F.coalesce(F.col("tab_severity") == "CRITICAL", F.lit(False))).alias("rejected"),
-    )
+    quality = t.groupBy("batch_id").agg(F.count("*").alias("_lines"), *_quality_aggs())
 
     # the routed tables of this run: at most the registered ten names
     tables = [r[0] for r in active.select("table_name").distinct().collect() if r[0] in schemas.TABLES]
@@ -189,72 +194,116 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
     return IngestResult(manifest=closed, results=results, issues=issues, loaded_path=loaded_path, cached=(t,))
 
 
+# Wording of header failures.
+NO_HEADER = "File is empty or has no header"
+REPEATED = "Repeated column in header: "
+UNKNOWN = "Columns not in table "
+
+
+def _header_fault() -> F.Column:
+    """Why a file's header cannot be loaded, or NULL: routed files need columns of their table, each once."""
+    known = F.create_map(*[x for t in schemas.TABLES for x in (F.lit(t), F.array(*[F.lit(c.name) for c in schemas.table_columns(t)]))])
+    cols = F.col("columns")
+    extra = F.array_except(cols, F.element_at(known, F.col("table_name")))
+    twice = F.filter(F.array_distinct(cols), lambda c: F.size(F.filter(cols, lambda x: x == c)) > 1)
+    return (F.when(cols.isNull() | (F.size(cols) == 0), F.lit(NO_HEADER))
+            .when(F.size(twice) > 0, F.concat(F.lit(REPEATED), F.array_join(twice, ", ")))
+            .when(F.col("routed") & (F.size(extra) > 0), F.concat(F.lit(UNKNOWN), F.col("table_name"), F.lit(": "), F.array_join(extra, ", "))))
+
+
 def ingest_csv(files: DataFrame, lines: DataFrame, rules: DataFrame, manifest: DataFrame | None = None,
-               tables_path: str | None = None, write: bool = True) -> IngestResult:
-    """Header-CSV flow: table named from the file, columns from the header line.
-
-    Columns come from the first line (split on commas, trimmed, lower-cased,
-    as the live load path does); data lines are parsed quote-aware and
-    re-emitted at header width.  Each row is stored as a ``map<column, value>``
-    (empty -> NULL) so files with different headers share one table layout per
-    table name.  Lines are validated by the rule of their file pattern exactly
-    as TSV files are.  Files are admitted as ``csv``.
+               tables_path: str | None = None, write: bool = True, route: bool = True) -> IngestResult:
+    """Header-CSV flow: columns from the header line, table routed by name or named from the file.
+
+    A file whose name routes (``PM162.csv`` to pm1; off with ``route=False``)
+    loads its header's columns into that table, typed, all rows or none.  Any
+    other file's table is named from the file, and each row is stored as a
+    ``map<column, value>`` (empty -> NULL), so files with different headers
+    share one layout.  Column names are the header's pieces (split on commas,
+    trimmed, lower-cased); data lines are parsed quote-aware.  Lines are
+    validated and transformed by the rule of their file pattern exactly as
+    TSV files are, and copies of a file load once.  A repeated or unknown
+    column, or a value of the wrong type, fails its own file only.
     """
     from ..functions import csvtext as CV
 
     spark = files.sparkSession
+    run_id = uuid.uuid4().hex
     if "parent_batch_id" not in files.columns:
         files = files.withColumn("parent_batch_id", F.lit(None).cast("string"))
     f = admit(files, name="file_name", size="file_size_bytes", allowed=("csv", ""))
-    f = f.withColumn("table_name", N.table_name_from_file("file_name")) \
+    target = N.route_table("file_name") if route else F.lit(None).cast("string")
+    f = f.withColumn("routed", target.isNotNull() & target.isin(*schemas.TABLES)) \
+        .withColumn("table_name", F.when(F.col("routed"), target).otherwise(N.table_name_from_file("file_name"))) \
         .withColumn("file_pattern", N.file_pattern("file_name"))
     header = lines.groupBy("batch_id").agg(F.min_by("line", "line_number").alias("_header"),
                                            F.min("line_number").alias("_first"))
     header = header.withColumn("columns", CV.header_columns("_header", "naive"))
     f = f.join(header.select("batch_id", "columns", "_first"), "batch_id", "left") \
-        .withColumn("reason", F.coalesce(F.col("reason"), F.when(
-            F.col("columns").isNull() | (F.size("columns") == 0), F.lit("File is empty or has no header"))))
+        .withColumn("reason", F.coalesce(F.col("reason"), _header_fault()))
     if manifest is not None:
         f = M.dedupe_against_manifest(f, manifest)
     else:
         f = f.withColumn("already_processed", F.lit(False)).withColumn("original_batch_id", F.lit(None).cast("string"))
     f = cut_lineage(f, "ingest_csv_files")
     active = f.where(F.col("reason").isNull() & ~F.col("already_processed")) \
-        .select("batch_id", "file_name", "file_pattern", "table_name", "columns", "_first")
+        .select("batch_id", "file_name", "file_pattern", "table_name", "columns", "_first", "routed")
     ln = spread(lines.drop("file_name", "file_pattern")).join(bounded_broadcast(active), "batch_id")
-    v = V.validate_lines(V.rule_join(ln, rules))
-    issues = V.validation_issues(v)
+    v = TR.apply_transform(V.validate_lines(V.rule_join(ln, rules)))
+    issues = V.validation_issues(v).unionByName(TR.transform_audit(v))
+    values = F.transform(F.split(CV.csv_to_tsv("out_line", F.size("columns")), "\t", -1), lambda x: F.nullif(x, F.lit("")))
+    v = v.withColumn("values", values).persist(StorageLevel.MEMORY_AND_DISK)
     data = v.where(F.col("line_number") > F.col("_first"))
-    rows = data.select("batch_id", "table_name", "line_number", F.map_from_arrays(
-        F.col("columns"), F.transform(F.split(CV.csv_to_tsv("fixed_line", F.size("columns")), "\t", -1),
-                                      lambda x: F.nullif(x, F.lit("")))).alias("row"))
-    ci = lambda c: (F.col(c) > 0).cast("int")
-    n_clean = ci("n_control") + ci("n_non_latin") + ci("n_collapsed")
+
+    # typed rows of routed files: at most the registered ten tables
+    tables = sorted(r[0] for r in active.where("routed").select("table_name").distinct().collect())
+    typed = {t: L.typed_by_name(data.where(F.col("routed") & (F.col("table_name") == t)), t) for t in tables}
     outcome = v.groupBy("batch_id").agg(
-        F.count_if(F.col("line_number") > F.col("_first")).cast("long").alias("loaded_rows"),
-        F.sum(n_clean + F.col("tab_fixed").cast("int")).cast("long").alias("corrected_records"),
-        F.sum(n_clean + F.col("tab_fixed").cast("int")).cast("int").alias("warning_count"),
-        F.sum((F.col("tab_issue").isNotNull() & ~F.col("tab_fixed")).cast("int")).cast("int").alias("error_count"),
-        F.sum(n_clean + F.col("tab_issue").isNotNull().cast("int")).cast("long").alias("issue_count"),
-        F.max(F.coalesce(F.col("tab_severity") == "CRITICAL", F.lit(False))).alias("rejected"),
-        F.lit(False).alias("load_failed"), F.lit(None).cast("string").alias("error_message"))
+        F.count_if(F.col("line_number") > F.col("_first")).cast("long").alias("_lines"), *_quality_aggs())
+    faults = [t.where(F.size("violations") > 0).select("batch_id", "line_number", "violations") for t in typed.values()]
+    bad = reduce(DataFrame.unionByName, faults) if faults else \
+        spark.createDataFrame([], "batch_id string, line_number bigint, violations array<string>")
+    outcome = outcome.join(bad.groupBy("batch_id").agg(F.count("*").alias("bad_rows"), _first_violation_agg()), "batch_id", "left")
+    failed = F.col("bad_rows").isNotNull() & ~F.col("rejected")
+    outcome = outcome.select(
+        "batch_id", "corrected_records", "warning_count", "error_count", "issue_count", "rejected", failed.alias("load_failed"),
+        F.col("_lines").alias("loaded_rows"),
+        F.when(failed, F.format_string("Load failed: %d of %d rows violate the table schema", F.col("bad_rows"), F.col("_lines")))
+        .alias("error_message"),
+        F.when(failed, F.format_string("first violation at line %d: %s", F.col("_first.line_number"), F.col("_first.v"))).alias("load_details"))
     outcome = cut_lineage(outcome, "ingest_csv_outcome")
+    cand = f.join(outcome.select("batch_id", "rejected", "load_failed"), "batch_id", "left")
+    passed = F.col("reason").isNull() & ~F.col("already_processed") & \
+        ~F.coalesce(F.col("rejected"), F.lit(True)) & ~F.coalesce(F.col("load_failed"), F.lit(True))
+    cand = M.dedupe_within_run(cand.withColumn("_passed", passed), order=("arrival", "batch_id"), eligible=F.col("_passed"))
+    fate = cut_lineage(cand.select("batch_id", "_passed", "is_duplicate"), "ingest_csv_dupes")
+
     loaded_path = None
     if write:
-        loaded_path = tables_path or scratch_path(spark, "tables")
-        ok = bounded_broadcast(outcome.where(~F.col("rejected")).select("batch_id"))
-        out = rows.join(ok, "batch_id", "left_semi")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        loaded_path = tables_path or scratch_path(spark, f"tables/{run_id}")
+        ok = bounded_broadcast(fate.where(F.col("_passed") & ~F.col("is_duplicate")).select("batch_id"))
+        for name, df in typed.items():
+            rows = df.join(ok, "batch_id", "left_semi").drop("violations", "line_number")
+            rows = L.row_number_assign(rows, L.last_row_number(spark, f"{loaded_path}/{name}")).withColumn(
+                "loaded_at", F.lit(F.current_timestamp()).cast("timestamp_ntz")).withColumn("load_run", F.lit(run_id))
+            rows.hint("rebalance", "batch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+                .partitionBy("batch_id").parquet(f"{loaded_path}/{name}")
+        loose = data.where(~F.col("routed")).join(ok, "batch_id", "left_semi").select(
+            "batch_id", "table_name", "line_number", F.map_from_arrays("columns", "values").alias("row"))
+        loose.hint("rebalance", "table_name", "batch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("table_name", "batch_id").parquet(f"{loaded_path}/_csv")
-    opened = M.open_manifest(f.where(F.col("reason").isNull() & ~F.col("already_processed")))
-    closed = M.close_manifest(opened, outcome)
-    res = f.join(closed.select("batch_id", F.col("status").alias("_ms"), F.col("total_records").alias("_rows"),
-                               F.col("error_message").alias("_merr")), "batch_id", "left")
+    opened = M.open_manifest(f.where(F.col("reason").isNull() & ~F.col("already_processed"))
+                             .join(fate.where(~F.col("is_duplicate")), "batch_id", "left_semi"))
+    closed = M.close_manifest(opened, outcome.drop("load_details")).join(outcome.select("batch_id", "load_details"), "batch_id", "left")
+    closed = closed.withColumn("error_details", F.coalesce("error_details", "load_details")).drop("load_details")
+    res = f.join(fate, "batch_id", "left").join(
+        closed.select("batch_id", F.col("status").alias("_ms"), F.col("total_records").alias("_rows"),
+                      F.col("error_message").alias("_merr")), "batch_id", "left")
     status = F.when(F.col("reason").isNotNull(), F.lit("FAILED")) \
-        .when(F.col("already_processed"), F.lit("DUPLICATE")) \
+        .when(F.col("already_processed") | F.coalesce(F.col("is_duplicate"), F.lit(False)), F.lit("DUPLICATE")) \
         .when(F.col("_ms") == "COMPLETED", F.lit("SUCCESS")).otherwise(F.lit("FAILED"))
     results = res.select("batch_id", "parent_batch_id", F.col("file_name").alias("filename"), "table_name",
                          status.alias("status"),
                          F.when(status == "SUCCESS", F.col("_rows")).otherwise(F.lit(0)).cast("long").alias("rows_loaded"),
                          F.coalesce(F.col("reason"), F.col("_merr")).alias("error_message"), "original_batch_id")
-    return IngestResult(manifest=closed, results=results, issues=issues, loaded_path=loaded_path)
+    return IngestResult(manifest=closed, results=results, issues=issues, loaded_path=loaded_path, cached=(v,))

@@ -129,18 +129,32 @@ def test_ingest_csv_with_header(spark, tmpdir_path):
     with open(os.path.join(src, "customer-data@2024.csv"), "w") as fh:
         fh.write('Order ID, Customer Name ,Price\n1001,"Doe, John",1200.00\n1002,Ann\n')
     with open(os.path.join(src, "PM162.csv"), "w") as fh:
-        fh.write("a,b\n1,2\n")
+        fh.write("block_num,property_id_num,registration_system_code\n12345,6789,A\n54321,9876,B")
+    for name, body in [("PM163.csv", "block_num,nothing\n1,2\n"), ("PM164.csv", "block_num,block_num\n1,2\n"),
+                       ("PM165.csv", "block_num,property_id_num\n123456,1\n1,2\n"), ("twice.csv", "a,a\n1,2\n"),
+                       ("copy.csv", 'Order ID, Customer Name ,Price\n1001,"Doe, John",1200.00\n1002,Ann\n')]:
+        with open(os.path.join(src, name), "w") as fh:
+            fh.write(body)
     files, lines = _files_and_lines(spark, src)
     out = os.path.join(tmpdir_path, "t")
     res = ingest_csv(files, lines, rules_df(spark), tables_path=out)
     r = {x.filename: x for x in res.results.collect()}
-    assert r["customer-data@2024.csv"].status == "SUCCESS" and r["customer-data@2024.csv"].rows_loaded == 2
-    assert r["customer-data@2024.csv"].table_name == "customer_data_2024"
-    # PM162.csv is validated by tabs (every line lacks 16 tabs) yet loads; errors only keep CLEAN
-    assert r["PM162.csv"].status == "SUCCESS"
+    copies = {"customer-data@2024.csv", "copy.csv"}   # equal bytes: one of them loads
+    assert {r[c].status for c in copies} == {"SUCCESS", "DUPLICATE"}
+    first = next(c for c in copies if r[c].status == "SUCCESS")
+    assert r[first].rows_loaded == 2 and r["customer-data@2024.csv"].table_name == "customer_data_2024"
+    # PM162.csv is routed and typed; it is validated by tabs (every line lacks 16 tabs) yet loads
+    assert r["PM162.csv"].status == "SUCCESS" and r["PM162.csv"].table_name == "pm1" and r["PM162.csv"].rows_loaded == 2
     man = {m.file_name: m for m in res.manifest.collect()}
-    assert man["PM162.csv"].error_count == 2 and man["PM162.csv"].data_quality_status == "CLEAN"
-    rows = spark.read.parquet(os.path.join(out, "_csv")).where(F.col("table_name") == "customer_data_2024") \
-        .orderBy("line_number").collect()
+    assert man["PM162.csv"].error_count == 3 and man["PM162.csv"].data_quality_status == "CLEAN"
+    pm1 = spark.read.parquet(os.path.join(out, "pm1")).orderBy("block_num").collect()
+    assert [(x.block_num, x.property_id_num, x.registration_system_code, x.interest_code) for x in pm1] == [
+        ("12345", "6789", "A", None), ("54321", "9876", "B", None)]
+    # faults stay with their files
+    assert r["PM163.csv"].error_message == "Columns not in table pm1: nothing"
+    assert r["PM164.csv"].error_message == "Repeated column in header: block_num" and r["twice.csv"].status == "FAILED"
+    assert r["PM165.csv"].status == "FAILED" and man["PM165.csv"].error_details == "first violation at line 2: block_num:LENGTH_VIOLATION"
+    rows = spark.read.parquet(os.path.join(out, "_csv")).orderBy("line_number").collect()
+    assert len(rows) == 2
     assert rows[0].row == {"order id": "1001", "customer name": "Doe, John", "price": "1200.00"}
     assert rows[1].row == {"order id": "1002", "customer name": "Ann", "price": None}
