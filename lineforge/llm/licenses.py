@@ -7,9 +7,10 @@ cover every document; template texts are cut the same way.  Each window has
 sets have Jaccard similarity J meet in a band with probability
 1 - (1 - J) ** BANDS.  A short template lies whole in one of a document's
 windows, and each full window of a longer one shares at least half of its
-shingles with some window of a copy, so J is at least 1/5 (a template of three
-shingles in a window of sixteen: 3/16) and a template is missed with
-probability below 0.003.  Retrieved pairs are verified: the exact share of the
+shingles with some window of a copy.  So J is at least 1/3 for long templates,
+3/16 for one of three shingles and 1/16 for one of a single shingle, which
+lies in two windows: it is missed with probability 0.0003, the others with
+less than 0.000002.  Retrieved pairs are verified: the exact share of the
 template's shingles that lie in one stretch of the document, at most as long
 as the template and a window on either side, must reach ``MIN_SHARE``.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import small
 
-SHINGLE, WIDTH, BANDS, MIN_SHARE = 3, 16, 32, 0.8
+SHINGLE, WIDTH, BANDS, MIN_SHARE = 3, 16, 64, 0.8
 STEP = WIDTH // 2
 
 # License notices as they are published.
