@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import small, written
 
 WINDOW, MIN_LITERAL, MIN_SHARE = 5, 3, 0.5
 #: Benchmark windows and flagged documents are broadcast up to so many rows; both are narrow.
@@ -103,6 +103,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows, all columns kept; the texts themselves are not shuffled where the flags are few."""
-    flagged = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    flagged = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "flagged")
     match = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
     return docs.join(small(flagged, BROADCAST_FLAGGED), match, "left_anti")
