@@ -29,7 +29,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     reach, so a lost executor never repeats the work before this point.
     """
     path = os.path.join(scratch_path(df.sparkSession, "llm"), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -48,8 +48,9 @@ BATCH_BYTES, MANY = 1 << 20, 500
 TASK_CONTEXTS = 100_000
 #: Narrow keys are broadcast up to so many rows.
 BROADCAST_KEYS = 1_000_000
-#: Anchors (one long each) are broadcast up to so many.
-BROADCAST_ANCHORS = 4_000_000
+#: Bits of the anchor filter (a power of two, 16 MB), and anchors that it can tell from others well.
+FILTER_BITS, FILTER_ANCHORS = 1 << 27, 1 << 24
+PACK = 1 << 31
 BASE = np.uint64(0x9E3779B97F4A7C15)
 TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 
@@ -109,15 +110,16 @@ def equal_strings(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
         block[: len(raw) - k] |= raw[k:].astype(np.int64) << np.int64(8 * (step - 1 - k))
     at = np.flatnonzero(room >= step)
     _, interval = np.unique(block[at], return_inverse=True)
+    block[at] = interval  # blocks by their rank: the first level's intervals, in order
     have = step
     at, interval = several(at, interval)
     while have < length and len(at):
         ok = (at - step >= first[owner[at]])
         back = at[ok] - step
-        pair = np.stack([block[back], interval[ok]])
-        order = np.lexsort((pair[1], pair[0]))  # by the block before, then by the interval: the order of the transform
-        new = np.concatenate([[True], (pair[:, order][:, 1:] != pair[:, order][:, :-1]).any(axis=0)]) if len(order) else np.zeros(0, bool)
-        interval, at, have = np.cumsum(new) - 1, back[order], have + step
+        pair = block[back] * np.int64(len(raw)) + interval[ok]  # by the block before, then by the interval: the order of the transform
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        interval, at, have = np.cumsum(np.concatenate([[0], pair[1:] != pair[:-1]])) if len(pair) else pair, back[order], have + step
         at, interval = several(at, interval)
     return interval, owner[at], at - first[owner[at]]
 
@@ -129,19 +131,29 @@ def several(at: np.ndarray, interval: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def improved(contexts: list[bytes], holders: np.ndarray, length: int = LENGTH) -> dict[int, list[int]]:
-    """By context, the offsets of strings that a smaller holder has too."""
+    """By context, the runs (first, number) of strings that a smaller holder has too, packed by ``pack``."""
     interval, context, offset = equal_strings(contexts, length)
     if not len(interval):
         return {}
     least = np.full(interval.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, interval, holders[context])
     hit = least[interval] < holders[context]
+    c, o = context[hit], offset[hit]
+    order = np.lexsort((o, c))
+    c, o = c[order], o[order]
+    start = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (o[1:] != o[:-1] + 1)])) if len(c) else c
+    count = np.diff(np.concatenate([start, [len(c)]])) if len(c) else c
     out: dict[int, list[int]] = {}
-    for c, o in zip(context[hit].tolist(), offset[hit].tolist()):
-        out.setdefault(c, []).append(o)
+    for k, first, n in zip(c[start].tolist(), o[start].tolist(), count.tolist()):
+        out.setdefault(k, []).append(pack(first, n))
     return out
 
 
+def pack(start, size):
+    """A place and a size below 2 ** 31 as one long; works on numbers and on columns."""
+    return start * PACK + size
+
+
 def text_hash(docs: DataFrame) -> Column:
     return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
@@ -168,11 +180,11 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def contexts(docs: DataFrame, cut: bool = True) -> DataFrame:
+def contexts(docs: DataFrame, cut: bool = True, bitmap=None) -> DataFrame:
     """anchor, doc_id, hash (of the text), at (first string) and, if ``cut``, bytes of every context.
 
     Where ``docs`` has a column ``wanted``, only the contexts that start at
-    its places are given.
+    its places are given; with a broadcast ``bitmap``, those whose anchor passes.
     """
     schema = T._parse_datatype_string("anchor long, doc_id long, hash long, at long" + ", bytes binary" * cut)
     arrow, chosen = to_arrow(schema), "wanted" in docs.columns
@@ -188,8 +200,8 @@ def contexts(docs: DataFrame, cut: bool = True) -> DataFrame:
             for doc_id, key, text, *wanted in zip(*(pieces(c) for c in batch.columns)):
                 data = no_nulls(text).encode()
                 anchor, at, many = runs(data)
-                if chosen:
-                    keep = np.isin(at, np.array(wanted[0], np.int64))
+                if chosen or bitmap is not None:
+                    keep = np.isin(at, np.array(wanted[0], np.int64)) if chosen else passes(anchor, bitmap.value)
                     anchor, at, many = anchor[keep], at[keep], many[keep]
                 columns[0].append(anchor)
                 columns[1].append(np.full(len(at), doc_id, np.int64))
@@ -207,23 +219,40 @@ def contexts(docs: DataFrame, cut: bool = True) -> DataFrame:
     return docs.select("doc_id", text_hash(docs).alias("hash"), "text", *["wanted"] * chosen).mapInArrow(run, schema)
 
 
+def anchor_filter(common: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the low bits of all ``common`` anchors set, built by Spark in parts of 4 KB."""
+    low = F.col("anchor").bitwiseAND(F.lit(FILTER_BITS - 1))
+    parts = (common.select((low / 32768).cast("long").alias("part"), (low % 32768).alias("bit"))
+             .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        out[r.part * 4096:(r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def passes(anchor: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    low = anchor & np.int64(8 * len(bitmap) - 1)
+    return (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+
+
 def held_contexts(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """The contexts of ``common`` anchors.
+    """The contexts of ``common`` anchors, and of few others (which are alone under their anchor and lose nothing).
 
-    Anchors beyond the broadcast bound meet narrow rows by a shuffle, and only
-    texts with such contexts are shuffled to be cut.
+    Texts are cut where a bitmap of fixed size has the anchor.  Beyond what it
+    can tell apart, narrow rows meet the anchors by a shuffle, and only texts
+    with such contexts are shuffled to be cut.
     """
-    if common.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS:
-        return contexts(docs).join(F.broadcast(common), "anchor")
+    if common.limit(FILTER_ANCHORS + 1).count() <= FILTER_ANCHORS:
+        return contexts(docs, bitmap=docs.sparkSession.sparkContext.broadcast(anchor_filter(common)))
     wanted = (contexts(docs, cut=False).join(common, "anchor").groupBy("doc_id", "hash").agg(F.collect_list("at").alias("wanted"))
               .withColumnsRenamed({"doc_id": "_doc", "hash": "_hash"}))
     texts = docs.join(wanted, (docs["doc_id"] == F.col("_doc")) & (text_hash(docs) == F.col("_hash"))).select("doc_id", "text", "wanted")
-    return contexts(texts)
+    return written(contexts(texts), "contexts")
 
 
 def expanded(mixed: DataFrame) -> DataFrame:
-    """anchor, context, offsets: strings of a context (by its hash) that a smaller holder's context has, within an anchor's contexts."""
-    schema = T._parse_datatype_string("anchor long, context long, offsets array<int>")
+    """anchor, context, better: runs of strings of a context (by its hash) that a smaller holder's context has, within an anchor's contexts."""
+    schema = T._parse_datatype_string("anchor long, context long, better array<long>")
     arrow = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +261,7 @@ def expanded(mixed: DataFrame) -> DataFrame:
 
         def settle():
             hits = improved([h[3] for h in held], np.array([h[2] for h in held], np.int64))
-            return as_batch([(held[c][0], held[c][1], sorted(o)) for c, o in hits.items()], arrow)
+            return as_batch([(held[c][0], held[c][1], o) for c, o in hits.items()], arrow)
 
         for batch in batches:
             for row in zip(*(pieces(c, 4096) for c in batch.columns)):
@@ -249,16 +278,15 @@ def expanded(mixed: DataFrame) -> DataFrame:
 
 
 def removed_strings(docs: DataFrame) -> DataFrame:
-    """doc_id, hash and spans (start and end of removed bytes, not merged) of every document that loses some, exact copies aside."""
+    """doc_id, hash and spans (packed start and size of removed bytes, not merged) of every document that loses some, exact copies aside."""
     common = released(docs.sparkSession, written(
         anchors(docs).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "anchors"))
-    held = released(docs.sparkSession, written(
-        held_contexts(docs, common).withColumn("context", F.xxhash64("bytes")), "contexts"))
+    held = held_contexts(docs, common).withColumn("context", F.xxhash64("bytes"))
     distinct = released(docs.sparkSession, written(
         held.groupBy("anchor", "context", "bytes").agg(F.min("doc_id").alias("first")), "distinct"))
 
     counts = distinct.groupBy("anchor").agg(F.count("*").alias("c"), F.min("first").alias("lo"), F.max("first").alias("hi")).where("c > 1 AND lo < hi")
-    mixed = written(distinct.join(counts.select("anchor", "c"), "anchor"), "mixed")
+    mixed = released(docs.sparkSession, written(distinct.join(counts.select("anchor", "c"), "anchor"), "mixed"))
     few = mixed.where(f"c <= {MANY}")
     tasks = max(1, -(-few.count() // TASK_CONTEXTS), docs.sparkSession.sparkContext.defaultParallelism)
     by_expansion = expanded(few.repartition(tasks, "anchor").sortWithinPartitions("anchor", "first", "context"))
@@ -266,16 +294,16 @@ def removed_strings(docs: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.length("bytes") - LENGTH + 1), lambda j: F.col("bytes").substr(j, F.lit(LENGTH)))).alias("at", "string"))
     least = strings.groupBy("anchor", "string").agg(F.min("first").alias("least"))
     by_grouping = (strings.join(least, ["anchor", "string"]).where("least < first").groupBy("anchor", "context")
-                   .agg(F.collect_list("at").alias("offsets")))
+                   .agg(F.collect_list(pack(F.col("at").cast("long"), F.lit(1))).alias("better")))
     better = by_expansion.union(by_grouping)
 
     # a later holder loses the whole context, its first holder the strings that a smaller document has
     known = distinct.select("anchor", "context", "first").join(better, ["anchor", "context"], "left")
     lost = (held.select("anchor", "context", "doc_id", "hash", "at", F.length("bytes").alias("n")).join(known, ["anchor", "context"])
-            .where("doc_id > first OR offsets IS NOT NULL")
-            .select("doc_id", "hash", F.explode(F.when(F.col("doc_id") > F.col("first"), F.array(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("n")).alias("e"))))
-                    .otherwise(F.transform("offsets", lambda o: F.struct((F.col("at") + o).alias("s"), (F.col("at") + o + LENGTH).alias("e"))))).alias("x")))
-    return lost.groupBy("doc_id", "hash").agg(F.collect_list("x").alias("spans"))
+            .where("doc_id > first OR better IS NOT NULL")
+            .select("doc_id", "hash", F.when(F.col("doc_id") > F.col("first"), F.array(pack(F.col("at"), F.col("n"))))
+                    .otherwise(F.transform("better", lambda x: x + F.col("at") * PACK + (LENGTH - 1))).alias("x")))
+    return lost.groupBy("doc_id", "hash").agg(F.flatten(F.collect_list("x")).alias("spans"))
 
 
 def kept(text: str | None, spans: list | None, whole: bool | None) -> tuple[bytes, bytes, int]:
@@ -285,7 +313,9 @@ def kept(text: str | None, spans: list | None, whole: bool | None) -> tuple[byte
         return data, b"", 1
     out, at, n = [], 0, 0
     end = -1
-    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+    for packed in sorted(spans or ()):
+        s = packed // PACK
+        e = s + packed % PACK
         if s > end:
             n += 1
             out.append(data[at:s])

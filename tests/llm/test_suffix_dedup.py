@@ -56,7 +56,7 @@ def test_random_texts(spark, seed, monkeypatch):
         monkeypatch.setattr(S, "MANY", 3)  # strings of common anchors are grouped by Spark
     if seed == 2:
         monkeypatch.setattr(S, "BROADCAST_KEYS", 0)  # shuffle joins
-        monkeypatch.setattr(S, "BROADCAST_ANCHORS", 0)
+        monkeypatch.setattr(S, "FILTER_ANCHORS", 0)
     rng = random.Random(seed)
     rows = make(rng, 60)
     rows += [(500, "a" * 400), (501, "a" * 333 + "b"), (502, "ab" * 120), (503, "ba" * 100), (504, "a" * 49), (505, "a" * 50),
