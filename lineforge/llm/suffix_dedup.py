@@ -295,7 +295,7 @@ def removed_strings(docs: DataFrame) -> DataFrame:
     least = strings.groupBy("anchor", "string").agg(F.min("first").alias("least"))
     by_grouping = (strings.join(least, ["anchor", "string"]).where("least < first").groupBy("anchor", "context")
                    .agg(F.collect_list(pack(F.col("at").cast("long"), F.lit(1))).alias("better")))
-    better = by_expansion.union(by_grouping)
+    better = released(docs.sparkSession, written(by_expansion.union(by_grouping), "better"))
 
     # a later holder loses the whole context, its first holder the strings that a smaller document has
     known = distinct.select("anchor", "context", "first").join(better, ["anchor", "context"], "left")
