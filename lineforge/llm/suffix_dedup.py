@@ -43,7 +43,7 @@ LENGTH, GRAM = 50, 20
 #: A context has at most so many strings (longer runs of one anchor, as in repetitive text, are cut).
 RUN = 64
 #: Bytes of contexts expanded at a time in a worker; contexts of one anchor beyond which Spark groups its strings.
-BATCH_BYTES, MANY = 1 << 20, 500
+BATCH_BYTES, MANY = 1 << 20, 20_000
 #: Contexts to a task of the expansion.
 TASK_CONTEXTS = 100_000
 #: Narrow keys are broadcast up to so many rows.
