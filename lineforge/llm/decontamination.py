@@ -10,9 +10,14 @@ re-parameterised questions and refuses mere look-alikes.  A document is
 contaminated by an item when consistent matches cover ``MIN_SHARE`` of the
 item's windows.
 
-A null text is empty and matches nothing.  Items with fewer words than a
-window, or without a window of ``MIN_LITERAL`` plain words, cannot be told
-from common speech and match nothing.  Rows with equal doc_id (null
+``leaks`` adds what templates cannot see: items are also matched by windows of
+plain lower-cased words, names and numbers left as they are, so that case,
+line breaks, an edited name or a lack of plain words hide no verbatim copy.
+An item of fewer words than a window is matched as one sequence of words; one
+of fewer than ``MIN_LITERAL`` words is common speech, and matches only a text
+that holds nothing else.
+
+A null text is empty and matches nothing.  Rows with equal doc_id (null
 included) and text count as one document.  Ties do not arise: every item that
 reaches the share is reported.  Extra columns are dropped before the join;
 ``clean_documents`` passes all columns through.  Texts are matched whole.
@@ -33,7 +38,12 @@ BROADCAST_WINDOWS, BROADCAST_FLAGGED = 500_000, 1_000_000
 UNITS = ("mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hrs ms ns hz khz mhz ghz w kw v mv a ma n j kj kb mb gb tb "
          "percent pct degrees degree celsius fahrenheit meters metres kilometers kilometres miles feet inches grams kilograms pounds "
          "ounces liters litres gallons seconds minutes hours days weeks months years dollars cents euros usd eur gbp").split()
-NAME, NUMBER = "\u0001", "\u0002"
+NAME, NUMBER, POINT = "\u0001", "\u0002", "\u0003"
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-case words of letters and digits, names and numbers among them."""
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+", " "), " "), lambda w: w != "")
 
 
 def marked(text: Column) -> Column:
@@ -44,8 +54,18 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(F.lower(numbered), rf"[^\p{{L}}\p{{Nd}}{NAME}{NUMBER} ]+", " ")
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(marked(text), " +"), lambda w: w != "")
+def marked_whole(text: Column) -> Column:
+    """As ``marked``, with all white space one blank, and a number with its separators one word without its sign."""
+    # runs of white space other than one blank
+    even = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?:[\p{Z}\s&&[^ ]]| (?=[\p{Z}\s]))[\p{Z}\s]*", " ")
+    named = F.regexp_replace(even, r"(?<=[\p{Ll}\p{Nd},;] )(?=\p{Lu}\p{Ll})", NAME)
+    joined = F.regexp_replace(named, r"[.,](?<=\p{Nd}[.,])(?=\p{Nd})", POINT)
+    numbered = F.regexp_replace(joined, rf"\p{{Nd}}[\p{{Nd}}{POINT}]*", f" {NUMBER}$0 ")
+    return F.regexp_replace(F.lower(numbered), rf"[^\p{{L}}\p{{Nd}}{NAME}{NUMBER}{POINT} ]+", " ")
+
+
+def words(text: Column, whole: bool = False) -> Column:
+    return F.filter(F.split((marked_whole if whole else marked)(text), " +"), lambda w: w != "")
 
 
 def template(word: Column, before: Column) -> Column:
@@ -55,14 +75,14 @@ def template(word: Column, before: Column) -> Column:
             .otherwise(word))
 
 
-def windows(rows: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
+def windows(rows: DataFrame, keys: list[str], window: int = WINDOW, whole: bool = False) -> DataFrame:
     """keys, place, hash and slots of every window of ``text``.
 
     ``slots`` has the window's words with plain ones left empty; null when it has no placeholder.
     """
     # no filter stands on a computed array, and none is inferred from an outer generator: the optimiser
     # would push it down and compute the array again inside each lambda call
-    tokens = rows.select(*keys, words(F.col("text")).alias("w"))
+    tokens = rows.select(*keys, words(F.col("text"), whole).alias("w"))
     formed = tokens.select(*keys, "w", F.transform("w", lambda w, i: template(w, F.get("w", i - 1))).alias("t"))
     values = F.when(F.exists("t", lambda t: t.startswith("<")),
                     F.zip_with("w", "t", lambda w, t: F.when(w == t, F.lit("")).otherwise(w)))
@@ -74,23 +94,26 @@ def windows(rows: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame
     return out.withColumn("slots", F.when(F.exists("slots", lambda v: v != ""), F.col("slots")))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, whole: bool = False) -> DataFrame:
     """item_id, item_place, hash, item_slots and n_windows of the windows with enough plain words."""
-    found = windows(benchmark, ["item_id"], window).withColumnsRenamed({"place": "item_place", "slots": "item_slots"})
+    found = windows(benchmark, ["item_id"], window, whole).withColumnsRenamed({"place": "item_place", "slots": "item_slots"})
     plain = F.coalesce(F.size(F.filter("item_slots", lambda v: v == "")), F.lit(window))
     usable = found.where(F.when(F.col("item_slots").isNull(), F.lit(window)).otherwise(plain) >= MIN_LITERAL)
     return usable.join(usable.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows")), "item_id")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
-    """doc_id, text_hash, item_id, n_matched, n_windows, share, n_slots, reparameterised of each contaminated pair."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE, whole: bool = False) -> DataFrame:
+    """doc_id, text_hash, item_id, n_matched, n_windows, share, n_slots, reparameterised of each contaminated pair.
+
+    ``whole`` reads words as ``marked_whole`` does.
+    """
     keys = ["doc_id", "text_hash"]
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    items = small(benchmark_windows(benchmark.select("item_id", "text"), window), BROADCAST_WINDOWS)
+    items = small(benchmark_windows(benchmark.select("item_id", "text"), window, whole), BROADCAST_WINDOWS)
     filled = F.when(F.col("slots").isNotNull(), F.filter(
         F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), lambda x: x["item"] != ""))
     # one group holds at most one row per window of an item: a shift fixes the document's place
-    by_shift = (windows(rows, keys, window).join(items, "hash")
+    by_shift = (windows(rows, keys, window, whole).join(items, "hash")
                 .withColumn("filled", filled).groupBy(*keys, "item_id", "n_windows", (F.col("place") - F.col("item_place")).alias("shift"))
                 .agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
                 .where(F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda x: x["item"])))))
@@ -101,8 +124,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
             .withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= min_share))
 
 
+def literal_windows(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """keys, n_words, place and hash of every run of ``window`` plain words of ``text``."""
+    # as in windows: no filter on a computed array
+    hashed = rows.select(*keys, F.transform(plain_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    runs = F.when(F.size("h") >= window, F.transform(F.sequence(F.lit(0), F.size("h") - window),
+                                                     lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(window)])))
+    return hashed.select(*keys, F.size("h").alias("n_words"), F.posexplode_outer(runs).alias("place", "hash")).where("hash IS NOT NULL")
+
+
+def copied(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
+    """doc_id, text_hash, item_id, n_matched, n_windows, share of each pair that shares the item's words as they stand."""
+    keys = ["doc_id", "text_hash"]
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    found = literal_windows(benchmark.select("item_id", "text"), ["item_id"], window).withColumnRenamed("place", "item_place").drop("n_words")
+    found = found.join(found.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows")), "item_id")
+    matched = (literal_windows(rows, keys, window).join(small(found, BROADCAST_WINDOWS), "hash")
+               .groupBy(*keys, "item_id", "n_windows").agg(F.countDistinct("item_place").alias("n_matched")))
+    out = matched.withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= min_share)
+    # the lengths of the items below a window: at most window - 1 numbers
+    sized = benchmark.select("item_id", "text", F.size(plain_words(F.col("text"))).alias("n"))
+    for n in sorted(r.n for r in sized.where(F.col("n").between(1, window - 1)).select("n").distinct().collect()):
+        short = literal_windows(sized.where(F.col("n") == n), ["item_id"], n).select("item_id", "hash")
+        whole = literal_windows(rows, keys, n)
+        whole = whole if n >= MIN_LITERAL else whole.where(F.col("n_words") == n)
+        out = out.unionByName(whole.join(small(short, BROADCAST_WINDOWS), "hash").select(
+            *keys, "item_id", F.lit(1).cast("bigint").alias("n_matched"), F.lit(1).cast("bigint").alias("n_windows"),
+            F.lit(1.0).alias("share")).distinct())
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The pairs of ``contaminated`` and ``copied``, each once with the larger share, in the columns of ``contaminated``."""
+    pairs = contaminated(docs, benchmark, whole=True).unionByName(copied(docs, benchmark).withColumns(
+        {"n_slots": F.lit(0), "reparameterised": F.lit(False)}), allowMissingColumns=True)
+    return (pairs.groupBy("doc_id", "text_hash", "item_id")
+            .agg(F.max(F.struct("share", "n_matched", "n_windows")).alias("best"), F.max("n_slots").alias("n_slots"),
+                 F.max("reparameterised").alias("reparameterised"))
+            .select("doc_id", "text_hash", "item_id", "best.n_matched", "best.n_windows", "best.share", "n_slots", "reparameterised"))
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows, all columns kept; the texts themselves are not shuffled where the flags are few."""
-    flagged = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "flagged")
+    flagged = written(leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "flagged")
     match = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
     return docs.join(small(flagged, BROADCAST_FLAGGED), match, "left_anti")

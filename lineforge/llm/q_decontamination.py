@@ -9,5 +9,5 @@ from .registry import register
 
 @register("op6_decontamination")
 def op6_decontamination(spark, sf_dir):
-    found = D.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = D.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_matched", "n_windows", "share", "n_slots", "reparameterised")

@@ -96,3 +96,28 @@ def test_against_brute_force(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.n_matched, r.n_windows) for r in D.contaminated(a, b).collect()}
     assert got == plain(docs, items) and got
+
+
+GERMAN = ("Welche der folgenden Aussagen über den Hafen von Hamburg und die alte Stadt Bremen ist richtig, wenn Kapitän Hansen im Winter "
+          "nach Norden fährt?")
+
+
+def leaked(spark, docs, items):
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in D.leaks(a, b).collect()}
+
+
+def test_case_and_line_breaks_hide_no_copy(spark):
+    items = [(1, GERMAN), (2, "Calculate 3 + 4 + 5 + 6"), (3, "Too short"), (4, "Name three rivers"), (5, None), (6, "?!")]
+    docs = [(1, GERMAN.lower()), (2, "so\n" + GERMAN.replace(" ", "\n")), (3, GERMAN.replace(" ", "  ").upper()), (4, "please calculate 3 + 4 + 5 + 6 now"),
+            (5, "far too short to tell"), (6, "too  SHORT."), (7, "now name\nthree rivers, please"), (8, "three rivers"), (9, None), (10, "")]
+    assert leaked(spark, docs, items) == {(1, 1), (2, 1), (3, 1), (4, 2), (6, 3), (7, 4)}
+    assert D.clean_documents(*(spark.createDataFrame(x, f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id")))).count() == 4
+
+
+def test_decimals_and_signs_are_one_number(spark):
+    item = "A tank holds 12.5 liters and drains 0.75 liters each -3.5 minutes until 2,000.25 liters of water are gone"
+    docs = [(1, item), (2, item.replace("12.5", "30").replace("0.75", "1.125").replace("-3.5", "8").replace("2,000.25", "17")),
+            (3, item.replace("12.5", "8.25").replace("liters", "gallons").replace(" ", "\n"))]
+    assert leaked(spark, docs, [(1, item)]) == {(1, 1), (2, 1), (3, 1)}
