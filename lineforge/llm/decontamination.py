@@ -39,6 +39,7 @@ UNITS = ("mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hrs m
          "percent pct degrees degree celsius fahrenheit meters metres kilometers kilometres miles feet inches grams kilograms pounds "
          "ounces liters litres gallons seconds minutes hours days weeks months years dollars cents euros usd eur gbp").split()
 NAME, NUMBER, POINT = "\u0001", "\u0002", "\u0003"
+FILLED = "array<struct<at:int,item:string,doc:string>>"
 
 
 def plain_words(text: Column) -> Column:
@@ -102,21 +103,44 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, whole: bool =
     return usable.join(usable.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows")), "item_id")
 
 
+def agreeing(spots: Column) -> Column:
+    """The rows of ``spots`` (item_place, filled) of a shift without a name or unit that no filling has in most of its places.
+
+    A number fills its own place of the item: equal numbers of a question need not be one variable.
+    """
+    fills = F.array_distinct(F.filter(F.flatten(F.transform(spots, lambda s: F.coalesce(s["filled"], F.array().cast(FILLED)))),
+                                      lambda f: ~f["item"].startswith(NUMBER)))
+    torn = F.transform(F.filter(fills, lambda f: ~F.exists(fills, lambda g: (g["item"] == f["item"]) & (
+        2 * F.size(F.filter(fills, lambda h: (h["item"] == g["item"]) & (h["doc"] == g["doc"])))
+        > F.size(F.filter(fills, lambda h: h["item"] == g["item"]))))), lambda f: f["item"])
+    return F.filter(spots, lambda s: s["filled"].isNull() | ~F.arrays_overlap(F.transform(s["filled"], lambda f: f["item"]), torn))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE, whole: bool = False) -> DataFrame:
     """doc_id, text_hash, item_id, n_matched, n_windows, share, n_slots, reparameterised of each contaminated pair.
 
-    ``whole`` reads words as ``marked_whole`` does.
+    ``whole`` reads words as ``marked_whole`` does and leaves out the windows of a torn slot, not their whole shift.
     """
     keys = ["doc_id", "text_hash"]
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     items = small(benchmark_windows(benchmark.select("item_id", "text"), window, whole), BROADCAST_WINDOWS)
     filled = F.when(F.col("slots").isNotNull(), F.filter(
         F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), lambda x: x["item"] != ""))
+    placed = F.when(F.col("slots").isNotNull(), F.filter(F.transform(
+        F.arrays_zip("item_slots", "slots"), lambda x, i: F.struct((F.col("item_place") + i).alias("at"), x["item_slots"].alias("item"),
+                                                                   x["slots"].alias("doc"))), lambda x: x["item"] != ""))
     # one group holds at most one row per window of an item: a shift fixes the document's place
-    by_shift = (windows(rows, keys, window, whole).join(items, "hash")
-                .withColumn("filled", filled).groupBy(*keys, "item_id", "n_windows", (F.col("place") - F.col("item_place")).alias("shift"))
-                .agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
-                .where(F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda x: x["item"])))))
+    met = windows(rows, keys, window, whole).join(items, "hash").withColumn("filled", placed if whole else filled)
+    shifts = met.groupBy(*keys, "item_id", "n_windows", (F.col("place") - F.col("item_place")).alias("shift"))
+    if whole:
+        kept = shifts.agg(agreeing(F.collect_set(F.struct("item_place", "filled"))).alias("spots"))
+        by_shift = kept.where(F.size("spots") > 0).select(
+            *keys, "item_id", "n_windows", F.transform("spots", lambda s: s["item_place"]).alias("places"),
+            F.array_distinct(F.transform(F.flatten(F.transform("spots", lambda s: F.coalesce(s["filled"], F.array().cast(FILLED)))),
+                                         lambda f: F.struct(f["item"].alias("item"), f["doc"].alias("doc")))).alias("filled"))
+    else:
+        by_shift = (shifts.agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
+                    .where(F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda x: x["item"])))))
     return (by_shift.groupBy(*keys, "item_id", "n_windows")
             .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_matched"),
                  F.max(F.size("filled")).alias("n_slots"),

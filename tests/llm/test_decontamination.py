@@ -121,3 +121,19 @@ def test_decimals_and_signs_are_one_number(spark):
     docs = [(1, item), (2, item.replace("12.5", "30").replace("0.75", "1.125").replace("-3.5", "8").replace("2,000.25", "17")),
             (3, item.replace("12.5", "8.25").replace("liters", "gallons").replace(" ", "\n"))]
     assert leaked(spark, docs, [(1, item)]) == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_a_torn_slot_costs_its_own_windows(spark):
+    long = ("Early in the morning the old baker gives Alice a basket of bread for the market and asks whether the road along the river is open, "
+            "because last week the bridge was closed and then Alice had to walk around the hill with all of the bread on a small cart until noon came")
+    boxes = "A shop packs 2 boxes of red apples on the first shelf and 2 crates of green pears below it, how many pieces are there?"
+    marked = "Every week the clerk meets Alice near the gate, then Alice reads, and Alice sleeps, and after that Bob walks with Bob to town"
+    docs = [(1, long[::-1].replace("ecilA", "loraC", 1)[::-1]), (2, boxes.replace("2 boxes", "3 boxes").replace("2 crates", "5 crates")),
+            (3, marked.replace("Alice", "Carol").replace("with Bob", "with Dan"))]
+    assert docs[0][1].count("Alice") == 1 == docs[0][1].count("Carol") and len(long.split()) > 50
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, long), (2, boxes), (3, marked)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in D.contaminated(a, b, whole=True).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3)}
+    assert got[2, 2].share == 1 and got[2, 2].reparameterised and got[1, 1].share < 1
+    assert leaked(spark, docs, [(1, long), (2, boxes), (3, marked)]) == set(got)
