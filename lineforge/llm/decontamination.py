@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import small, written
 
 WINDOW, MIN_LITERAL, MIN_SHARE = 5, 3, 0.5
+#: So many matched words on end are a leak whatever the item's length (``leaks``).
+MIN_RUN = 13
 #: Benchmark windows and flagged documents are broadcast up to so many rows; both are narrow.
 BROADCAST_WINDOWS, BROADCAST_FLAGGED = 500_000, 1_000_000
 
@@ -103,6 +105,12 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, whole: bool =
     return usable.join(usable.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows")), "item_id")
 
 
+def has_run(places: Column, window: int) -> Column:
+    """Whether the matched windows of a shift cover ``MIN_RUN`` words on end."""
+    n = MIN_RUN - window + 1
+    return F.exists(places, lambda p: F.size(F.array_intersect(places, F.sequence(p, p + (n - 1)))) == n)
+
+
 def agreeing(spots: Column) -> Column:
     """The rows of ``spots`` (item_place, filled) of a shift without a name or unit that no filling has in most of its places.
 
@@ -141,11 +149,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     else:
         by_shift = (shifts.agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
                     .where(F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda x: x["item"])))))
+    run = F.max(has_run(F.col("places"), window)) if whole else F.lit(False)
     return (by_shift.groupBy(*keys, "item_id", "n_windows")
             .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_matched"),
                  F.max(F.size("filled")).alias("n_slots"),
-                 F.max(F.exists("filled", lambda x: F.lower(x["item"]) != F.lower(x["doc"]))).alias("reparameterised"))
-            .withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= min_share))
+                 F.max(F.exists("filled", lambda x: F.lower(x["item"]) != F.lower(x["doc"]))).alias("reparameterised"), run.alias("run"))
+            .withColumn("share", F.col("n_matched") / F.col("n_windows")).where((F.col("share") >= min_share) | F.col("run")).drop("run"))
 
 
 def literal_windows(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
@@ -164,8 +173,13 @@ def copied(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_shar
     found = literal_windows(benchmark.select("item_id", "text"), ["item_id"], window).withColumnRenamed("place", "item_place").drop("n_words")
     found = found.join(found.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows")), "item_id")
     matched = (literal_windows(rows, keys, window).join(small(found, BROADCAST_WINDOWS), "hash")
-               .groupBy(*keys, "item_id", "n_windows").agg(F.countDistinct("item_place").alias("n_matched")))
-    out = matched.withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= min_share)
+               .groupBy(*keys, "item_id", "n_windows", (F.col("place") - F.col("item_place")).alias("shift"))
+               .agg(F.collect_set("item_place").alias("places"))
+               .groupBy(*keys, "item_id", "n_windows")
+               .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("bigint").alias("n_matched"),
+                    F.max(has_run(F.col("places"), window)).alias("run")))
+    out = (matched.withColumn("share", F.col("n_matched") / F.col("n_windows")).where((F.col("share") >= min_share) | F.col("run"))
+           .drop("run"))
     # the lengths of the items below a window: at most window - 1 numbers
     sized = benchmark.select("item_id", "text", F.size(plain_words(F.col("text"))).alias("n"))
     for n in sorted(r.n for r in sized.where(F.col("n").between(1, window - 1)).select("n").distinct().collect()):

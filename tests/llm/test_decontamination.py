@@ -137,3 +137,9 @@ def test_a_torn_slot_costs_its_own_windows(spark):
     assert set(got) == {(1, 1), (2, 2), (3, 3)}
     assert got[2, 2].share == 1 and got[2, 2].reparameterised and got[1, 1].share < 1
     assert leaked(spark, docs, [(1, long), (2, boxes), (3, marked)]) == set(got)
+
+
+def test_a_long_run_counts_whatever_its_share(spark):
+    item = " ".join(f"word{chr(97 + n % 26)}{chr(97 + n // 26)}" for n in range(59))
+    run = lambda n: "lead " + " ".join(item.split()[20:20 + n]) + " end"
+    assert leaked(spark, [(1, run(25)), (2, run(13)), (3, run(12)), (4, f"{run(8)} {run(9)}")], [(1, item)]) == {(1, 1), (2, 1)}
