@@ -9,10 +9,12 @@ those of the longest windows; no n-gram length is exploded on its own.
 A task turns texts into word numbers and counts equal windows before anything
 is shuffled.  Words travel as 64-bit hashes: the distinct words of each
 language are counted first, and a seed is taken under which no two words of a
-language share a hash, so counts are exact.  Windows are grouped by all their
-words (a very common word or pair is spread over all tasks); a window too
-rare to be a candidate then keeps its shorter prefix only, so the ROLLUP
-moves little.
+language share a hash, so counts are exact.  Windows of one prefix (all words
+but the last) meet in one task; those whose prefix holds only very common
+words are dealt by their last word too, into as many parts as the rarest of
+these words asks for, so no task gets far more than its share.  There a
+window too rare to be a candidate gives its count to its prefix, and a prefix
+too rare gives it to the words before, so the ROLLUP moves little.
 
 Candidates are cut at every place; the least floored score counts, the
 leftmost cut on ties.  Arithmetic is in 38-digit decimals, exact while
@@ -53,6 +55,8 @@ SALTS = 256
 #: What ends a piece; ``.`` stands for all of them, as no word can hold it.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes.maketrans(ENDS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"." * len(ENDS) + b" abcdefghijklmnopqrstuvwxyz")
+#: A word is very common when it is more than one in so many of all words; there can be no more such words than this.
+COMMON = 4096
 #: Seeds that are tried; a billion words clash under one of 35.
 SEEDS = 64
 #: Padding of a window, and the hash that no word may have.
@@ -118,10 +122,20 @@ def hashed(words: DataFrame) -> tuple[DataFrame, int]:
     raise RuntimeError("no seed keeps the words' hashes apart")
 
 
-def windows(docs: DataFrame, seed: int, order: int = MAX_WORDS) -> DataFrame:
-    """lang, w1..wN (hashes of a word and the words after it in its piece, padded), c: counted within each task."""
+def common_words(words: DataFrame) -> tuple[dict[tuple[str, int], int], int]:
+    """(lang, hash) -> count of the very common words, ``COMMON`` at most, and the count beyond which a word is one."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    share = total // COMMON + 1
+    return {(r.lang, r.h): r.n for r in words.where(F.col("n") > share).select("lang", "h", "n").collect()}, share
+
+
+def windows(docs: DataFrame, seed: int, common: dict[tuple[str, int], int], share: int, order: int = MAX_WORDS) -> DataFrame:
+    """lang, w1..wN (hashes of a word and the words after it in its piece, padded), part, c: counted within each task.
+
+    ``part`` is 0, or from 1 on where all words of the prefix are ``common``.
+    """
     names = [f"w{k + 1}" for k in range(order)]
-    schema = T._parse_datatype_string("lang string, " + ", ".join(f"{n} long" for n in names) + ", c long")
+    schema = T._parse_datatype_string("lang string, " + ", ".join(f"{n} long" for n in names) + ", part long, c long")
     arrow = to_arrow(schema)
 
     class Numbers(dict):
@@ -150,11 +164,15 @@ def windows(docs: DataFrame, seed: int, order: int = MAX_WORDS) -> DataFrame:
         else:
             rows, c = np.unique(np.stack(lead, 1)[first != 0], axis=0, return_counts=True)
             lead = [rows[:, k] for k in range(order)]
+        often = np.array([common.get((lang, h), 0) for h in hashes.tolist()], np.int64)
         for at in range(0, len(c), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            n = len(c[part])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n), *(pa.array(hashes[column[part]]) for column in lead),
-                                              pa.array(c[part].astype(np.int64))], schema=arrow)
+            rows = slice(at, at + (1 << 16))
+            n = len(c[rows])
+            w = [hashes[column[rows]] for column in lead]
+            # a prefix occurs no more often than its rarest word
+            parts = np.minimum.reduce([often[column[rows]] for column in lead[:-1]] or [np.zeros(n, np.int64)]) // share
+            part = np.where(parts > 1, w[-1] % np.maximum(parts, 1) + 1, 0)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n), *map(pa.array, w), pa.array(part), pa.array(c[rows].astype(np.int64))], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
@@ -182,20 +200,34 @@ def windows(docs: DataFrame, seed: int, order: int = MAX_WORDS) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, schema)
 
 
-def frequencies(docs: DataFrame, seed: int, order: int = MAX_WORDS, least: int = MIN_COUNT) -> DataFrame:
+def frequencies(docs: DataFrame, words: DataFrame, seed: int, order: int = MAX_WORDS, least: int = MIN_COUNT) -> DataFrame:
     """lang, w1..wN, size, f: every phrase of at most N words that occurs ``least`` times, and (size 0) each language's words.
 
-    The longest windows are summed first.  One that is rarer than ``least``
-    can be no candidate: its last word is left out, and the ROLLUP adds it
-    to its prefixes only.
+    All rows of a prefix and part lie in one task from the first shuffle on.
+    Each window's sum is laid down once for its prefix (last word padded)
+    and, where it is a candidate, once in full; a prefix that is rare gives
+    up its own last word.  The ROLLUP sums the prefix rows; full rows pass
+    through it at the top level alone.
     """
     names = [f"w{k + 1}" for k in range(order)]
-    top = windows(docs, seed, order).groupBy("lang", *names).agg(F.sum("c").alias("c"))
-    top = top.withColumn(names[-1], F.when(F.col("c") >= least, F.col(names[-1])).otherwise(PAD)) if order > 1 else top
+    last, prefix = names[-1], names[:-1]
+    place = ["lang", *prefix, "part"]
+    top = (windows(docs, seed, *common_words(words), order).repartition(*place)
+           .groupBy(*place, last).agg(F.sum("c").alias("c")))
+    full, pad = F.col(last), F.lit(PAD).cast("long")
+    laid = F.when((F.col("c") >= least) & (full != PAD), F.array(full, pad)).otherwise(F.array(pad))
+    sums = top.select(*place, F.explode(laid).alias(last), "c").groupBy(*place, last).agg(F.sum("c").alias("c"))
+    if prefix:
+        rare = (full == PAD) & (F.col("part") == 0) & (F.col("c") < least)
+        sums = sums.withColumn(prefix[-1], F.when(rare, pad).otherwise(F.col(prefix[-1])))
     columns = ", ".join(names)
-    grouping = " + ".join(f"grouping({n})" for n in names)
-    sums = docs.sparkSession.sql(f"SELECT lang, {columns}, {order} - ({grouping}) AS size, sum(c) AS f FROM {{top}} GROUP BY lang, ROLLUP ({columns})", top=top)
-    # a padded column repeats the count of a shorter phrase, and not all of it
+    sizes = " + ".join(f"grouping({n})" for n in names)
+    sums = docs.sparkSession.sql(f"""
+        SELECT lang, {columns}, {order} - ({sizes}) AS size,
+          sum(c) FILTER (WHERE {last} = {PAD}) AS shorter, sum(c) FILTER (WHERE {last} <> {PAD}) AS longest
+        FROM {{sums}} GROUP BY lang, ROLLUP ({columns})""", sums=sums)
+    sums = sums.select("lang", *names, "size", F.when(F.col("size") == order, F.col("longest")).otherwise(F.col("shorter")).alias("f"))
+    # a padded column repeats a part of the count of a shorter phrase
     real = F.col("size") == 0
     for k, n in enumerate(names):
         real = real | ((F.col("size") == k + 1) & (F.col(n) != PAD) & (F.col("f") >= least))
@@ -259,7 +291,7 @@ def mine(docs: DataFrame, top: int = TOP, least: int = MIN_COUNT, order: int = M
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases of 2 to ``order`` words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words, seed = hashed(word_counts(texts))
-    freq = frequencies(texts, seed, order, least)
+    freq = frequencies(texts, words, seed, order, least)
     frequent = words.where(F.col("n") >= least).select("lang", "h", "word")
     best = ranked(spelled(candidates(freq, order, cover), frequent, order), top)
     totals = freq.where("size = 0").select("lang", F.col("f").alias("n"))

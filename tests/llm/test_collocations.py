@@ -60,8 +60,10 @@ def got(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+@pytest.mark.parametrize("common", [4096, 20])
 @pytest.mark.parametrize("seed,top,least,order", [(1, 2000, 10, 3), (2, 5, 3, 3), (3, 50, 2, 4), (4, 9, 1, 2)])
-def test_against_separate_counts(spark, seed, top, least, order):
+def test_against_separate_counts(spark, monkeypatch, common, seed, top, least, order):
+    monkeypatch.setattr(C, "COMMON", common)
     rows = corpus(seed)
     assert got(C.mine(frame(spark, rows), top, least, order)) == expected(rows, top, least, order)
 
