@@ -97,7 +97,12 @@ def maybe_met_twice(docs: DataFrame, bitmap: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame, text: Column, entries: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
-    """The index: bucket, h, chain (from 1), sha, group_size, keep_id of every text that occurs more than once; written."""
+    """The index: bucket, h, chain (from 1), sha, group_size, keep_id, stays of every text that occurs more than once; written.
+
+    ``stays`` is the uid of the row that stays.  The rows are complete here,
+    so that the documents' lookup is a join of two shuffles, which Spark can
+    split where one text holds a large share of all rows.
+    """
     texts = maybe_met_twice(docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text")), keys_met_twice(entries))
     placed = texts.withColumn("slot", leading("h", depth)).join(small(slots.select("slot", "bucket"), BROADCAST_SLOTS), "slot")
     same = (placed.groupBy("bucket", "h", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
@@ -107,7 +112,8 @@ def index(docs: DataFrame, text: Column, entries: DataFrame, slots: DataFrame, d
     chain = owned.withColumn("chain", F.row_number().over(key)).withColumn("before", F.lag("sha").over(key))
     sha = F.when(F.col("before") == F.col("sha"),
                  F.raise_error(F.lit("exact_dedup: two texts of equal key and SHA-256")).cast("binary")).otherwise(F.col("sha"))
-    return written(chain.select("bucket", "h", "chain", sha.alias("sha"), "group_size", "keep_id"), "index")
+    chain = chain.select("bucket", "h", "chain", sha.alias("sha"), "group_size", "keep_id")
+    return written(chain.join(entries.where("n > 1").select("h", "sha", "stays"), ["h", "sha"]), "index")
 
 
 def groups(docs: DataFrame, normal: Column | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -120,7 +126,7 @@ def groups(docs: DataFrame, normal: Column | None = None, capacity: int = CAPACI
     lowest = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     entries = written(keys.groupBy("h", "sha").agg(F.count("*").alias("n"), F.max_by("uid", lowest).alias("stays")), "entries")
     slots, depth = directory(entries, capacity)
-    found = index(docs, text, entries, slots, depth).join(entries.where("n > 1").select("h", "sha", "stays"), ["h", "sha"])
+    found = index(docs, text, entries, slots, depth)
     return keys.join(found.select("h", "sha", "group_size", "keep_id", "stays"), ["h", "sha"], "left").select(
         "doc_id", F.when(F.col("stays").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
