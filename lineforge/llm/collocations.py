@@ -14,7 +14,10 @@ but the last) meet in one task; those whose prefix holds only very common
 words are dealt by their last word too, into as many parts as the rarest of
 these words asks for, so no task gets far more than its share.  There a
 window too rare to be a candidate gives its count to its prefix, and a prefix
-too rare gives it to the words before, so the ROLLUP moves little.
+too rare gives it to the words before, so the ROLLUP moves little.  A word too
+rare to be in any candidate ends a window as a piece's end does; tasks know
+such words by a bitmap of hashes of fixed size, in which a rare word that is
+taken for a frequent one costs a window and changes no result.
 
 Candidates are cut at every place; the least floored score counts, the
 leftmost cut on ties.  Arithmetic is in 38-digit decimals, exact while
@@ -57,6 +60,8 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes.maketrans(ENDS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"." * len(ENDS) + b" abcdefghijklmnopqrstuvwxyz")
 #: A word is very common when it is more than one in so many of all words; there can be no more such words than this.
 COMMON = 4096
+#: Leading bits of a hash in the bitmap of frequent words (16 MB), and bits in one of its rows.
+BITMAP_BITS, ROW_BITS = 27, 32_768
 #: Seeds that are tried; a billion words clash under one of 35.
 SEEDS = 64
 #: Padding of a window, and the hash that no word may have.
@@ -129,11 +134,29 @@ def common_words(words: DataFrame) -> tuple[dict[tuple[str, int], int], int]:
     return {(r.lang, r.h): r.n for r in words.where(F.col("n") > share).select("lang", "h", "n").collect()}, share
 
 
-def windows(docs: DataFrame, seed: int, common: dict[tuple[str, int], int], share: int, order: int = MAX_WORDS) -> DataFrame:
+def frequent_bits(words: DataFrame, least: int) -> np.ndarray:
+    """The bitmap, as bytes, of the hashes of words that occur ``least`` times."""
+    at = F.shiftrightunsigned("h", 64 - BITMAP_BITS).cast("long")
+    rows = words.where(F.col("n") >= least).groupBy(F.floor(at / ROW_BITS).alias("row")).agg(F.bitmap_construct_agg(at % ROW_BITS).alias("bits"))
+    bits = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
+    for r in rows.toLocalIterator():
+        bits[r.row * ROW_BITS // 8:(r.row + 1) * ROW_BITS // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits
+
+
+def may_be_frequent(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def windows(docs: DataFrame, words: DataFrame, seed: int, order: int = MAX_WORDS, least: int = MIN_COUNT) -> DataFrame:
     """lang, w1..wN (hashes of a word and the words after it in its piece, padded), part, c: counted within each task.
 
-    ``part`` is 0, or from 1 on where all words of the prefix are ``common``.
+    ``part`` is 0, or from 1 on where all words of the prefix are very common.
+    Rare words' own windows are padded whole.
     """
+    common, share = common_words(words)
+    bits = docs.sparkSession.sparkContext.broadcast(frequent_bits(words, least))
     names = [f"w{k + 1}" for k in range(order)]
     schema = T._parse_datatype_string("lang string, " + ", ".join(f"{n} long" for n in names) + ", part long, c long")
     arrow = to_arrow(schema)
@@ -146,24 +169,30 @@ def windows(docs: DataFrame, seed: int, common: dict[tuple[str, int], int], shar
             return n
 
     def counted(lang: str, parts: list[np.ndarray], number: Numbers) -> Iterator[pa.RecordBatch]:
+        hashes = np.array([PAD, *(hash_of(w, seed) for w in list(number)[1:])], np.int64)
         ids = np.concatenate([*parts, np.zeros(order, np.int64)])
+        rare = ~may_be_frequent(hashes, bits.value)
+        rare[0] = False
+        alone = int(np.count_nonzero(rare[ids]))
+        ids[rare[ids]] = 0
         first = ids[:len(ids) - order]
         lead, open_ = [first], np.ones(len(first), bool)
         for k in range(1, order):
             nxt = ids[k:len(ids) - order + k]
             open_ &= nxt != 0
             lead.append(np.where(open_, nxt, 0))
-        hashes = np.array([PAD, *(hash_of(w, seed) for w in list(number)[1:])], np.int64)
-        bits = max(1, (len(number) - 1).bit_length())
-        if bits * order <= 63:  # all words of a window fit one number: one sort
+        wide = max(1, (len(number) - 1).bit_length())
+        if wide * order <= 63:  # all words of a window fit one number: one sort
             key = np.zeros(len(first), np.int64)
             for column in lead:
-                key = key << bits | column
+                key = key << wide | column
             key, c = np.unique(key[first != 0], return_counts=True)
-            lead = [key >> bits * (order - 1 - k) & (1 << bits) - 1 for k in range(order)]
+            lead = [key >> wide * (order - 1 - k) & (1 << wide) - 1 for k in range(order)]
         else:
             rows, c = np.unique(np.stack(lead, 1)[first != 0], axis=0, return_counts=True)
             lead = [rows[:, k] for k in range(order)]
+        if alone:
+            lead, c = [np.append(column, 0) for column in lead], np.append(c, alone)
         often = np.array([common.get((lang, h), 0) for h in hashes.tolist()], np.int64)
         for at in range(0, len(c), 1 << 16):
             rows = slice(at, at + (1 << 16))
@@ -212,7 +241,7 @@ def frequencies(docs: DataFrame, words: DataFrame, seed: int, order: int = MAX_W
     names = [f"w{k + 1}" for k in range(order)]
     last, prefix = names[-1], names[:-1]
     place = ["lang", *prefix, "part"]
-    top = (windows(docs, seed, *common_words(words), order).repartition(*place)
+    top = (windows(docs, words, seed, order, least).repartition(*place)
            .groupBy(*place, last).agg(F.sum("c").alias("c")))
     full, pad = F.col(last), F.lit(PAD).cast("long")
     laid = F.when((F.col("c") >= least) & (full != PAD), F.array(full, pad)).otherwise(F.array(pad))
