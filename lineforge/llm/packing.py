@@ -17,7 +17,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,68 +33,119 @@ from .common import as_batch, no_nulls, pieces, small, to_arrow, written
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a worker remembers in each of two generations.
-MEMORY = 250_000
+MEMORY = 500_000
+#: Characters that are cut into words at once.
+STRETCH = 1 << 18
+#: Letters beyond ASCII whose lower case is one letter and that normal form C leaves alone (U+00C0 to U+017F without signs and U+0130).
+LATIN = "".join(chr(c) for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7, 0x130))
+OTHER = re.compile(rf"[^ -~\n{LATIN}]|<\|")
+BREAK = re.compile(r"[ \n]")
 #: Partitions whose totals are summed in one group; the groups' totals are summed over all groups.
 BLOCK = 1024
 #: At most so many partition offsets (two numbers each) are broadcast.
 BROADCAST_PARTITIONS = 1_000_000
 
 
+class Parts(dict):
+    """Ids of word parts as bytes; a part not met since the memory last filled up is tokenised anew."""
+
+    def __init__(self, tokenize, level: dict[int, str], older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.tokenize, self.level, self.older = tokenize, level, older
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            tokens = self.tokenize(part if part.isascii() else part.translate(self.level))
+            ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        self[part] = ids
+        return ids
+
+
 class WordIds:
     """Ids of texts by a tokenizer whose tokens never cross white space, with words remembered.
 
-    Only the blank and the line feed split a text here; other white space
-    stays inside a chunk for the tokenizer to treat.  Where the vocabulary
-    file says how a word is cut (lower case, then one expression), plain ASCII
-    words are cut here, so that "The", "the" and "the," share one model call.
-    Words not met since the memory last filled up are forgotten first.
+    Where the vocabulary file says how a word is cut (lower case, then one
+    expression), runs of blanks, line feeds, printable ASCII and ``LATIN``
+    letters are cut here, so that "The", "the" and "the," share one model
+    call.  A word with any other character goes to the tokenizer whole, as
+    one chunk between blanks and line feeds.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = ascii_cut(json.loads(self.tokenizer.to_str()))
+        self.cut = latin_cut(json.loads(self.tokenizer.to_str()))
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.level = {ord(c): level.pre_tokenize_str(c)[0][0] for c in LATIN}
+        self.parts = Parts(self.tokenizer.model.tokenize, self.level, {})
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def of(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        chunks = text.replace("\n", " ").split(" ")
+        if len(self.parts) > MEMORY:
+            self.parts = Parts(self.parts.tokenize, self.level, dict(self.parts))
         if len(self.known) > MEMORY:
             self.known, self.older = {}, self.known
-        if len(self.parts) > MEMORY:
-            self.parts = {}
+        if not self.cut:
+            return b"".join(self.whole(text.replace("\n", " ").split(" ")))
+        places = list(other_chunks(text))
+        strange = self.whole([text[a:b] for a, b in places])
+        out, at = [], 0
+        for (a, b), ids in zip(places, strange):
+            out += self.plain(text, at, a)
+            out.append(ids)
+            at = b
+        out += self.plain(text, at, len(text))
+        return b"".join(out)
+
+    def plain(self, text: str, start: int, end: int) -> Iterator[bytes]:
+        """Ids of a stretch without other characters, some hundred thousand characters at a time."""
+        while start < end:
+            cut = end if end - start <= STRETCH else text.find(" ", start + STRETCH, end) + 1 or end
+            yield b"".join(map(self.parts.__getitem__, self.cut.findall(text[start:cut].lower())))
+            start = cut
+
+    def whole(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks by the tokenizer itself, equal chunks once."""
         known, new = self.known, []
         for c in set(chunks):
             if c not in known:
-                if (ids := self.older.get(c)) is not None:
-                    known[c] = ids
-                elif self.cut and c.isascii() and c.isprintable() and "<|" not in c:
-                    known[c] = self.plain(c.lower())
-                else:
+                ids = self.older.get(c)
+                if ids is None:
                     new.append(c)
+                else:
+                    known[c] = ids
         for at in range(0, len(new), 1024):
             part = new[at:at + 1024]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
-
-    def plain(self, word: str) -> bytes:
-        """Ids of a lower-case word of printable ASCII, by its parts."""
-        out = []
-        for part in [word] if word.isalpha() and "'" not in word else self.cut.findall(word):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.parts[part] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(part))
-            out.append(ids)
-        return b"".join(out)
+        return [known[c] for c in chunks]
+
+
+def other_chunks(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the chunks between blanks and line feeds that hold any other character, or a special token's start."""
+    at = 0
+    for m in OTHER.finditer(text):
+        if m.start() < at:
+            continue
+        start = max(text.rfind(" ", at, m.start()), text.rfind("\n", at, m.start())) + 1 or at
+        end = BREAK.search(text, m.end())
+        at = end.start() if end else len(text)
+        yield start, at
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One per Python worker: its memory serves all tasks that the worker runs."""
+    return WordIds(path)
 
 
-def ascii_cut(spec: dict) -> re.Pattern | None:
-    """The expression that cuts ASCII words, if the vocabulary file has lower case and one expression alone."""
+def latin_cut(spec: dict) -> re.Pattern | None:
+    """The expression that cuts lower-case words, if the vocabulary file has NFC, lower case and one expression alone."""
     normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
     if normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
@@ -100,7 +153,9 @@ def ascii_cut(spec: dict) -> re.Pattern | None:
     split, level = steps
     if not (split.get("invert") and split["behavior"] == "Removed" and "Regex" in split["pattern"]) or level["use_regex"] or level["add_prefix_space"]:
         return None
-    shape = split["pattern"]["Regex"].replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
+    letters = "a-z" + "".join(sorted(set(LATIN.lower())))
+    shape = (split["pattern"]["Regex"].replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", "[0-9]")
+             .replace(r"\p{L}", letters).replace(r"\p{N}", "0-9"))
     return None if r"\p" in shape else re.compile(shape)
 
 
@@ -111,7 +166,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     arrow, end = to_arrow(schema), np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, before = WordIds(path), TaskContext.get().partitionId(), 0
+        ids_of, part, before = word_ids(path), TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
         size = 0
         for batch in batches:
