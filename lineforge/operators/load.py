@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as tx
 from ..session import scratch_path
+from . import store
+from .common import bounded_broadcast, cut_lineage
 
 TAB = "\t"
+#: Partitions whose counts are summed in one group.
+ID_BLOCK = 1024
 
 
 def tsv_fields(line) -> Column:
@@ -196,37 +200,45 @@ def tag_untagged_rows(df: DataFrame, batch_id: str) -> DataFrame:
 
 
 def row_number_assign(df: DataFrame, start: int = 0) -> DataFrame:
-    """Unique, increasing ids (gaps allowed) without a global sort: ``start`` + partition-local ids."""
-    return df.withColumn("row_number", F.lit(start) + F.monotonically_increasing_id() + 1)
+    """Dense ids ``start + 1 .. start + n`` without a global sort or a window over rows.
+
+    The rows are written once with ids that count within their partition;
+    prefix sums over the partitions' counts, within blocks of partitions and
+    over blocks, make them dense.
+    """
+    kept = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()), "row_numbers")
+    part = F.shiftright("_id", 33)  # the partition's number; the rest counts its rows
+    counts = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).withColumn("block", F.expr(f"_part div {ID_BLOCK}"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.sum("n").over(earlier(Window.orderBy("block"))).alias("base"))
+    bases = counts.withColumn("within", F.sum("n").over(earlier(Window.partitionBy("block").orderBy("_part")))) \
+        .join(blocks, "block").select("_part", (F.coalesce("within", F.lit(0)) + F.coalesce("base", F.lit(0))).alias("base"))
+    return kept.withColumn("_part", part).join(bounded_broadcast(bases), "_part").withColumn(
+        "row_number", F.lit(start) + F.col("base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_id", "base")
 
 
-def last_row_number(spark, path: str) -> int:
-    """The highest ``row_number`` in a table folder; 0 when there is none yet."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return 0
-    rows = spark.read.parquet(path)
-    return (rows.agg(F.max("row_number")).first()[0] or 0) if "row_number" in rows.columns else 0
+def with_load_time(rows: DataFrame) -> DataFrame:
+    """``loaded_at``: one timestamp for the whole run."""
+    return rows.withColumn("loaded_at", F.lit(F.current_timestamp()).cast("timestamp_ntz"))
 
 
 def batch_load(typed: DataFrame, table: str, path: str | None = None, run_id: str | None = None) -> DataFrame:
-    """Write the rows of every passing batch to the table folder, all or nothing per batch.
+    """Load the rows of every passing batch as one run: all of a batch or nothing, all batches of the run or none.
 
-    Rows are tagged with batch_id (already present), ``loaded_at`` (one
-    timestamp per run) and ``row_number``; the write is partitioned by
-    ``batch_id`` so reads of one batch prune to its folder.  Returns the
-    per-batch loaded row counts read back from what was written.
+    ``path`` is the folder of the tables.  Rows are staged, tagged with
+    ``batch_id`` and ``loaded_at``, and become visible by one commit record;
+    batches that an earlier run committed are left out.  Returns the run's
+    rows with their ``row_number``s, as readers see them (see :mod:`.store`).
     """
     spark = typed.sparkSession
     run_id = run_id or uuid.uuid4().hex
-    path = path or scratch_path(spark, f"tables/{run_id}/{table}")
-    gate = load_gate(typed)
-    good = passing_rows(typed, gate).drop("violations", "line_number")
-    good = row_number_assign(good, last_row_number(spark, path)).withColumn(
-        "loaded_at", F.lit(F.current_timestamp()).cast("timestamp_ntz")).withColumn("load_run", F.lit(run_id))
-    # a batch's rows meet in few tasks (a large batch in several), so files grow with the data, not with tasks x batches
-    good = good.hint("rebalance", "batch_id")
-    # dynamic partition overwrite: re-running a batch replaces its folder, other batches stay
-    good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-    loaded = spark.read.parquet(path).where(F.col("load_run") == run_id)
-    return loaded
+    path = path or scratch_path(spark, f"tables/{run_id}")
+    seen = store.last_record(spark, path)
+    good = passing_rows(typed, load_gate(typed)).drop("violations", "line_number")
+    done = store.committed_batches(spark, path)
+    if done is not None:
+        good = good.join(done, "batch_id", "left_anti")
+    store.load_tables({table: with_load_time(good)}, path, run_id, seen)
+    loaded = store.read_table(spark, path, table, run_id)
+    return spark.createDataFrame([], with_load_time(good).withColumn("row_number", F.lit(0).cast("long"))
+                                 .withColumn("load_run", F.lit("")).schema) if loaded is None else loaded

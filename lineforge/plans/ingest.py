@@ -14,6 +14,7 @@ because the gates, the load and the issue table all read it.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,6 +27,7 @@ from ..functions import names as N
 from ..functions import text as tx
 from ..operators import load as L
 from ..operators import manifest as M
+from ..operators import store
 from ..operators import transform as TR
 from ..operators import validate as V
 from ..operators.admission import admit
@@ -82,8 +84,9 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
     ``files``: batch_id, file_name, file_size_bytes, file_checksum, arrival
     (and optionally parent_batch_id).  ``lines``: batch_id, line_number, line
     (raw text, header-less tab lines).  ``manifest``: earlier manifests for
-    the duplicate check.  Accepted rows are appended under
-    ``tables_path/<table>/batch_id=...`` when ``write`` is set.
+    the duplicate check.  When ``write`` is set the accepted rows of all
+    tables become visible under ``tables_path`` by one commit record
+    (``operators.store.read_table`` reads them).
     """
     spark = files.sparkSession
     run_id = run_id or uuid.uuid4().hex
@@ -147,39 +150,50 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
 
     outcome = cut_lineage(outcome, "ingest_outcome")  # one row per batch
 
+    def rows(accepted: DataFrame) -> dict[str, DataFrame]:
+        return {name: df.join(accepted, "batch_id", "left_semi").drop("violations", "line_number") for name, df in typed.items()}
+
+    return _finish(f, outcome, rows, issues, tables_path if write else None, write, run_id, (t,))
+
+
+def _finish(f: DataFrame, outcome: DataFrame, rows: Callable[[DataFrame], dict[str, DataFrame]], issues: DataFrame,
+            tables_path: str | None, write: bool, run_id: str, cached: tuple) -> IngestResult:
+    """The end of every run: duplicates within it, the load as one commit, manifest rows and results per file.
+
+    ``f``: one row per file with ``reason`` and ``already_processed``;
+    ``outcome``: one row per batch; ``rows(accepted)``: each table's rows of
+    the accepted batches.
+    """
+    spark = f.sparkSession
     # ---- within-run duplicates: the first passing copy per checksum wins
     cand = f.join(outcome.select("batch_id", "rejected", "load_failed"), "batch_id", "left")
     passed = F.col("reason").isNull() & ~F.col("already_processed") & \
         ~F.coalesce(F.col("rejected"), F.lit(True)) & ~F.coalesce(F.col("load_failed"), F.lit(True))
     cand = M.dedupe_within_run(cand.withColumn("_passed", passed), order=("arrival", "batch_id"),
                                eligible=F.col("_passed"))
-    outcome_all = cut_lineage(cand.select("batch_id", "_passed", "is_duplicate"), "ingest_dupes")
+    fate = cut_lineage(cand.select("batch_id", "_passed", "is_duplicate"), "ingest_dupes")
 
-    # ---- load accepted batches, one folder per table, partitioned by batch
-    accepted = outcome_all.where(F.col("_passed") & ~F.col("is_duplicate")).select("batch_id")
+    # ---- load accepted batches: staged per table, visible by one commit record
+    accepted = fate.where(F.col("_passed") & ~F.col("is_duplicate")).select("batch_id")
     loaded_path = None
     if write:
-        accepted = bounded_broadcast(accepted)
         loaded_path = tables_path or scratch_path(spark, f"tables/{run_id}")
-        for name, df in typed.items():
-            rows = df.join(accepted, "batch_id", "left_semi").drop("violations", "line_number")
-            rows = L.row_number_assign(rows, L.last_row_number(spark, f"{loaded_path}/{name}")).withColumn(
-                "loaded_at", F.lit(F.current_timestamp()).cast("timestamp_ntz")).withColumn("load_run", F.lit(run_id))
-            # a batch's rows meet in few tasks (a large batch in several): no file for each task and batch
-            rows = rows.hint("rebalance", "batch_id")
-            # dynamic partition overwrite: a retried batch replaces its own folder
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-                .partitionBy("batch_id").parquet(f"{loaded_path}/{name}")
+        seen = store.last_record(spark, loaded_path)
+        done = store.committed_batches(spark, loaded_path)
+        if done is not None:  # a run that was repeated after its commit loads nothing twice
+            accepted = accepted.join(done, "batch_id", "left_anti")
+        staged = {name: L.with_load_time(df) for name, df in rows(bounded_broadcast(accepted)).items()}
+        store.load_tables(staged, loaded_path, run_id, seen)
 
     # ---- manifest rows for files that reached manifest creation (not duplicates)
     opened = M.open_manifest(f.where(F.col("reason").isNull() & ~F.col("already_processed"))
-                             .join(outcome_all.where(~F.col("is_duplicate")), "batch_id", "left_semi"))
+                             .join(fate.where(~F.col("is_duplicate")), "batch_id", "left_semi"))
     closed = M.close_manifest(opened, outcome.drop("load_details")).join(
         outcome.select("batch_id", "load_details"), "batch_id", "left")
     closed = closed.withColumn("error_details", F.coalesce("error_details", "load_details")).drop("load_details")
 
     # ---- per-file results
-    res = f.join(outcome_all, "batch_id", "left").join(
+    res = f.join(fate, "batch_id", "left").join(
         closed.select("batch_id", F.col("status").alias("_mstatus"), F.col("total_records").alias("_rows"),
                       F.col("error_message").alias("_merr")), "batch_id", "left")
     status = F.when(F.col("reason").isNotNull(), F.lit("FAILED")) \
@@ -191,7 +205,7 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
         F.coalesce(F.col("reason"), F.col("_merr")).alias("error_message"),
         F.col("original_batch_id"),
     )
-    return IngestResult(manifest=closed, results=results, issues=issues, loaded_path=loaded_path, cached=(t,))
+    return IngestResult(manifest=closed, results=results, issues=issues, loaded_path=loaded_path, cached=cached)
 
 
 # Wording of header failures.
@@ -272,38 +286,11 @@ def ingest_csv(files: DataFrame, lines: DataFrame, rules: DataFrame, manifest: D
         .alias("error_message"),
         F.when(failed, F.format_string("first violation at line %d: %s", F.col("_first.line_number"), F.col("_first.v"))).alias("load_details"))
     outcome = cut_lineage(outcome, "ingest_csv_outcome")
-    cand = f.join(outcome.select("batch_id", "rejected", "load_failed"), "batch_id", "left")
-    passed = F.col("reason").isNull() & ~F.col("already_processed") & \
-        ~F.coalesce(F.col("rejected"), F.lit(True)) & ~F.coalesce(F.col("load_failed"), F.lit(True))
-    cand = M.dedupe_within_run(cand.withColumn("_passed", passed), order=("arrival", "batch_id"), eligible=F.col("_passed"))
-    fate = cut_lineage(cand.select("batch_id", "_passed", "is_duplicate"), "ingest_csv_dupes")
 
-    loaded_path = None
-    if write:
-        loaded_path = tables_path or scratch_path(spark, f"tables/{run_id}")
-        ok = bounded_broadcast(fate.where(F.col("_passed") & ~F.col("is_duplicate")).select("batch_id"))
-        for name, df in typed.items():
-            rows = df.join(ok, "batch_id", "left_semi").drop("violations", "line_number")
-            rows = L.row_number_assign(rows, L.last_row_number(spark, f"{loaded_path}/{name}")).withColumn(
-                "loaded_at", F.lit(F.current_timestamp()).cast("timestamp_ntz")).withColumn("load_run", F.lit(run_id))
-            rows.hint("rebalance", "batch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-                .partitionBy("batch_id").parquet(f"{loaded_path}/{name}")
-        loose = data.where(~F.col("routed")).join(ok, "batch_id", "left_semi").select(
+    def rows(accepted: DataFrame) -> dict[str, DataFrame]:
+        out = {name: df.join(accepted, "batch_id", "left_semi").drop("violations", "line_number") for name, df in typed.items()}
+        loose = data.where(~F.col("routed")).join(accepted, "batch_id", "left_semi").select(
             "batch_id", "table_name", "line_number", F.map_from_arrays("columns", "values").alias("row"))
-        loose.hint("rebalance", "table_name", "batch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("table_name", "batch_id").parquet(f"{loaded_path}/_csv")
-    opened = M.open_manifest(f.where(F.col("reason").isNull() & ~F.col("already_processed"))
-                             .join(fate.where(~F.col("is_duplicate")), "batch_id", "left_semi"))
-    closed = M.close_manifest(opened, outcome.drop("load_details")).join(outcome.select("batch_id", "load_details"), "batch_id", "left")
-    closed = closed.withColumn("error_details", F.coalesce("error_details", "load_details")).drop("load_details")
-    res = f.join(fate, "batch_id", "left").join(
-        closed.select("batch_id", F.col("status").alias("_ms"), F.col("total_records").alias("_rows"),
-                      F.col("error_message").alias("_merr")), "batch_id", "left")
-    status = F.when(F.col("reason").isNotNull(), F.lit("FAILED")) \
-        .when(F.col("already_processed") | F.coalesce(F.col("is_duplicate"), F.lit(False)), F.lit("DUPLICATE")) \
-        .when(F.col("_ms") == "COMPLETED", F.lit("SUCCESS")).otherwise(F.lit("FAILED"))
-    results = res.select("batch_id", "parent_batch_id", F.col("file_name").alias("filename"), "table_name",
-                         status.alias("status"),
-                         F.when(status == "SUCCESS", F.col("_rows")).otherwise(F.lit(0)).cast("long").alias("rows_loaded"),
-                         F.coalesce(F.col("reason"), F.col("_merr")).alias("error_message"), "original_batch_id")
-    return IngestResult(manifest=closed, results=results, issues=issues, loaded_path=loaded_path, cached=(v,))
+        return out | {"_csv": loose}
+
+    return _finish(f, outcome, rows, issues, tables_path if write else None, write, run_id, (v,))
