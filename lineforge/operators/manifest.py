@@ -177,12 +177,22 @@ def _now() -> Column:
     return F.current_timestamp().cast("timestamp_ntz")
 
 
+# Fixed value: where an upload lies.
+UPLOAD = "upload://"
+
+
 def open_manifest(files: DataFrame, created_by: str = "system", started_at: Column | None = None) -> DataFrame:
-    """New PROCESSING rows for admitted files (counters 0, quality CLEAN)."""
+    """New PROCESSING rows for admitted files (counters 0, quality CLEAN).
+
+    ``file_path`` and ``content_type`` are taken from ``files`` where it has
+    them; the path of an upload without one is its name.
+    """
     zero = F.lit(0).cast("long")
+    given = lambda c: F.col(c) if c in files.columns else F.lit(None).cast("string")
+    path = F.coalesce(given("file_path"), F.concat(F.lit(UPLOAD), "file_name")).alias("file_path")
     started = _now() if started_at is None else started_at
     return files.select(
-        "batch_id", "parent_batch_id", "file_name", "file_size_bytes", "file_checksum", "table_name",
+        "batch_id", "parent_batch_id", "file_name", path, given("content_type").alias("content_type"), "file_size_bytes", "file_checksum", "table_name",
         F.lit(PROCESSING).alias("status"), zero.alias("total_records"), zero.alias("processed_records"),
         zero.alias("failed_records"), zero.alias("corrected_records"), F.lit(0).alias("warning_count"),
         F.lit(0).alias("error_count"), F.lit("CLEAN").alias("data_quality_status"),
@@ -210,7 +220,8 @@ def close_manifest(opened: DataFrame, outcome: DataFrame, completed_at: Column |
     details = F.when(rejected, F.format_string(REJECT_DETAILS, F.col("batch_id")))
     rows = F.when(failed, F.col("total_records")).otherwise(F.coalesce(F.col("loaded_rows"), F.lit(0)).cast("long"))
     return j.select(
-        "batch_id", "parent_batch_id", "file_name", "file_size_bytes", "file_checksum", "table_name",
+        "batch_id", "parent_batch_id", "file_name", *[c for c in ("file_path", "content_type") if c in opened.columns],
+        "file_size_bytes", "file_checksum", "table_name",
         F.when(failed, F.lit(FAILED)).otherwise(F.lit(COMPLETED)).alias("status"),
         rows.alias("total_records"),
         F.when(failed, F.col("processed_records")).otherwise(rows).alias("processed_records"),

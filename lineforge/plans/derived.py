@@ -268,9 +268,31 @@ def doc_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_order_archives(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
+def write_deliveries(lines: DataFrame, out_dir: str) -> None:
+    """One file per ``file_name`` of ``lines`` (LF-ended, in ``line_number`` order) under ``out_dir``, each followed by its marker.
+
+    A delivery is a bounded group; files go through the Arrow file systems.
+    """
+    import pandas as pd
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        from ..streaming.arrivals import MARKER, Folder
+
+        folder, name = Folder(out_dir), str(pdf["file_name"].iloc[0])
+        folder.write(name, "".join(x + "\n" for x in pdf.sort_values("line_number")["line"]).encode())
+        folder.write(f"{name}{MARKER}", b"")
+        return pd.DataFrame({"file_name": [name]})
+
+    lines.select("file_name", "line_number", "line").groupBy("file_name").applyInPandas(build, "file_name string") \
+        .write.format("noop").mode("overwrite").save()
+
+
+def write_order_archives(spark: SparkSession, sf_dir: str, out_dir: str, damaged: bool = False) -> str:
     """One ZIP archive per customer under ``out_dir``; one entry per order.
 
+    With ``damaged``, customers whose key leaves 7 of 50 have a byte of their
+    first body changed, and those that leave 9 have half an archive.
+
     Entry ``<orderkey>/PM<k>62`` (k = key % 9 + 1), or ``orders_<orderkey>.csv``
     when the key is a multiple of 4; its lines are the order's pin lines in
     line-number order.  Archives are built by ``applyInPandas`` per customer
@@ -296,9 +318,14 @@ def write_order_archives(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
             for key, g in pdf.groupby("k", sort=True):
                 name = f"orders_{key}.csv" if key % 4 == 0 else f"{key}/PM{key % 9 + 1}62"
                 z.writestr(name, "".join(ln + "\n" for ln in g["line"]))
+        data = bytearray(buf.getvalue())
+        if damaged and cust % 50 == 7:
+            data[30 + int.from_bytes(data[26:28], "little") + int.from_bytes(data[28:30], "little")] ^= 0xFF
+        elif damaged and cust % 50 == 9:
+            data = data[:len(data) // 2]
         filesystem, base = pafs.FileSystem.from_uri(out_dir)
         with filesystem.open_output_stream(f"{base}/cust_{cust}.zip") as fh:
-            fh.write(buf.getvalue())
+            fh.write(bytes(data))
         return pd.DataFrame({"custkey": [cust], "entries": [int(pdf["batch_id"].nunique())]})
 
     lines.groupBy("custkey").applyInPandas(build, "custkey long, entries long") \

@@ -250,13 +250,11 @@ def q_transform_audit(spark, sf):
 
 
 @register("first_line", f"""{LINES}
-SELECT batch_id, file_name, line AS first_line,
-       CAST(CASE WHEN line = '' THEN 0 ELSE length(line) - length(replace(line, chr(9), '')) + 1 END AS INTEGER) AS field_count
+SELECT batch_id, CAST(CASE WHEN line = '' THEN 0 ELSE length(line) - length(replace(line, chr(9), '')) + 1 END AS INTEGER) AS field_count
 FROM lines WHERE line_number = 1""")
 def q_first_line(spark, sf):
-    d = D.doc_lines(spark, sf).where(F.col("line_number") == 1)
-    return d.select("batch_id", "file_name", F.col("line").alias("first_line"),
-                    tx.count_fields("line").alias("field_count"))
+    from ..operators.load import first_line_fields
+    return first_line_fields(D.doc_lines(spark, sf))
 
 
 @register("issue_filter", f"""{BASE}, i AS ({O.issues_sql('v')})

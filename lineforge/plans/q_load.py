@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -9,6 +11,8 @@ from ..functions import csvtext as CV
 from ..functions import names as N
 from ..functions import text as tx
 from ..operators import load as L
+from ..operators import store
+from ..session import scratch_path
 from . import derived as D
 from .registry import register
 
@@ -168,14 +172,19 @@ def q_tag(spark, sf):
     return L.tag_untagged_rows(d, "untagged-run")
 
 
-@register("row_number_assign", f"""{TSV}
-SELECT batch_id, count(*) AS row_count, count(*) AS distinct_ids, TRUE AS all_positive FROM lines GROUP BY batch_id""")
+@register("row_number_assign", f"""{TSV},
+runs AS (SELECT CASE WHEN line_number % 2 = 0 THEN 'even' ELSE 'odd' END AS run, count(*) AS n FROM lines GROUP BY 1)
+SELECT run AS load_run, n AS row_count, n AS distinct_ids, CASE run WHEN 'even' THEN 1 ELSE 1 + (SELECT n FROM runs WHERE run = 'even') END AS first_id,
+  CASE run WHEN 'even' THEN n ELSE (SELECT CAST(sum(n) AS BIGINT) FROM runs) END AS last_id FROM runs""")
 def q_row_number(spark, sf):
-    """Ids are unique and positive: per batch, as many distinct ids as rows."""
-    r = L.row_number_assign(D.orders_tsv(spark, sf).select("batch_id", "line_number"))
-    return r.groupBy("batch_id").agg(F.count("*").alias("row_count"),
-                                     F.count_distinct("row_number").alias("distinct_ids"),
-                                     (F.min("row_number") > 0).alias("all_positive"))
+    """Two runs into one table: ids go from 1 to the number of rows, the second run's after the first's."""
+    path = scratch_path(spark, f"row_numbers/{uuid.uuid4().hex}")
+    lines = D.orders_tsv(spark, sf).select(F.concat("batch_id", F.lit("-"), (F.col("line_number") % 2).cast("string")).alias("batch_id"), "line_number")
+    for seen, run in enumerate(("even", "odd")):
+        store.load_tables({"orders": lines.where(F.col("line_number") % 2 == seen)}, path, run, seen)
+    return store.read_table(spark, path, "orders").groupBy("load_run").agg(
+        F.count("*").alias("row_count"), F.count_distinct("row_number").alias("distinct_ids"),
+        F.min("row_number").alias("first_id"), F.max("row_number").alias("last_id"))
 
 
 # ------------------------------------------------------------------ CSV text

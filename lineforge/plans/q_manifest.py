@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import names as N
 from ..operators import manifest as M
+from ..operators import store
 from ..operators import validate as V
 from ..session import scratch_path
 from . import derived as D
@@ -216,18 +217,21 @@ def q_issues_by_batch(spark, sf):
 
 
 @register("file_checksum", """
-SELECT CAST(doc_id AS VARCHAR) AS batch_id, sha256(text) AS file_checksum,
-       CAST(octet_length(encode(text)) AS BIGINT) AS file_size_bytes FROM documents""")
+SELECT source, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS file_checksum,
+       CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS file_size_bytes FROM documents GROUP BY source""")
 def q_checksum(spark, sf):
-    d = D.table(spark, sf, "documents")
-    return d.select(F.col("doc_id").cast("string").alias("batch_id"), F.sha2("text", 256).alias("file_checksum"),
-                    F.octet_length("text").cast("long").alias("file_size_bytes"))
+    """The documents as one file per source, hashed as files."""
+    from ..sources import files as FS
+    from .q_sources import SOURCE, write_doc_files
+    found = FS.file_checksums(FS.binary_files(spark, write_doc_files(spark, sf)))
+    return found.select(F.regexp_extract("path", SOURCE, 1).alias("source"), "file_checksum", F.col("length").alias("file_size_bytes"))
 
 
 # ------------------------------------------------------------------ lifecycle
 
 @register("manifest_open", f"""WITH dm AS ({DOC_MANIFEST})
-SELECT batch_id, parent_batch_id, file_name, file_size_bytes, file_checksum, table_name, 'PROCESSING' AS status,
+SELECT batch_id, parent_batch_id, file_name, 'upload://' || file_name AS file_path, CAST(NULL AS VARCHAR) AS content_type,
+  file_size_bytes, file_checksum, table_name, 'PROCESSING' AS status,
   CAST(0 AS BIGINT) AS total_records, CAST(0 AS BIGINT) AS processed_records, CAST(0 AS BIGINT) AS failed_records,
   CAST(0 AS BIGINT) AS corrected_records, 0 AS warning_count, 0 AS error_count, 'CLEAN' AS data_quality_status,
   'system' AS created_by
@@ -262,7 +266,8 @@ oc AS (SELECT batch_id, count(*) AS loaded_rows,
 
 
 @register("manifest_close", f"""WITH dm AS ({DOC_MANIFEST}), {_OUTCOME_SQL}
-SELECT dm.batch_id, parent_batch_id, file_name, file_size_bytes, file_checksum, table_name,
+SELECT dm.batch_id, parent_batch_id, file_name, 'upload://' || file_name AS file_path, CAST(NULL AS VARCHAR) AS content_type,
+  file_size_bytes, file_checksum, table_name,
   CASE WHEN rejected THEN 'FAILED' ELSE 'COMPLETED' END AS status,
   CAST(CASE WHEN rejected THEN 0 ELSE loaded_rows END AS BIGINT) AS total_records,
   CAST(CASE WHEN rejected THEN 0 ELSE loaded_rows END AS BIGINT) AS processed_records,
@@ -285,12 +290,18 @@ SELECT batch_id, CASE WHEN status = 'PROCESSING' THEN 'COMPLETED' ELSE status EN
   CASE WHEN status = 'PROCESSING' THEN 'updated' ELSE 'unchanged' END AS change
 FROM m WHERE NOT (status = 'PENDING' AND CAST(batch_id AS BIGINT) % 10 = 0)""")
 def q_manifest_upsert(spark, sf):
+    """The stored manifest after its first write and an upsert that closes the PROCESSING rows; deletions and changes are read from it."""
     m = _m(spark, sf)
-    cur = m.select("batch_id", "status", "processed_records", "total_records")
-    upd = m.where(F.col("status") == "PROCESSING").select(
-        "batch_id", F.lit("COMPLETED").alias("status"), F.col("total_records").alias("processed_records"))
+    rows = m.select("batch_id", "file_checksum", "status", "processed_records", "total_records")
+    folder = scratch_path(spark, f"manifest/{uuid.uuid4().hex}")
+    store.upsert_stored(folder, rows)
+    store.upsert_stored(folder, rows.where(F.col("status") == "PROCESSING").select(
+        "batch_id", "file_checksum", F.lit("COMPLETED").alias("status"), F.col("total_records").alias("processed_records"), "total_records"))
+    now = store.read_stored(spark, folder).select("batch_id", "status", "processed_records", "total_records")
     dele = m.where((F.col("status") == "PENDING") & (F.col("batch_id").cast("long") % 10 == 0)).select("batch_id")
-    return M.manifest_upsert(cur, upd, delete_keys=dele).select("batch_id", "status", "processed_records", "change")
+    before = rows.select("batch_id", "status", "processed_records", "total_records")
+    upd = now.join(before.select("batch_id", F.col("status").alias("was")), "batch_id").where("was <> status").select("batch_id", "status", "processed_records")
+    return M.manifest_upsert(before, upd, delete_keys=dele).select("batch_id", "status", "processed_records", "change")
 
 
 # ------------------------------------------------------------------ archive results

@@ -6,19 +6,23 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import validate as V
+from ..operators.validate import rules_df
 from ..session import scratch_path
 from ..sources import files as FS
 from ..streaming import folders as FO
 from ..streaming import watch as W
 from . import derived as D
 from . import oracle as O
+from .q_load import SCANNED
 from .registry import register
 
 # --------------------------------------------------------------- file sources
 
 
-def _write_doc_files(spark, sf, compression=None):
+SOURCE = "source=([^/]+)/"
+
+
+def write_doc_files(spark, sf, compression=None):
     """Documents written as one text file per ``source`` (lines in doc order)."""
     d = D.table(spark, sf, "documents").select("source", "doc_id", "text")
     lines = d.select("source", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
@@ -38,9 +42,9 @@ FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line,
 
 
 def _scan(spark, sf, compression=None):
-    path = _write_doc_files(spark, sf, compression)
+    path = write_doc_files(spark, sf, compression)
     lines = FS.line_scan(spark, path)
-    return lines.select(F.regexp_extract("file_path", "source=([^/]+)/", 1).alias("source"),
+    return lines.select(F.regexp_extract("file_path", SOURCE, 1).alias("source"),
                         "line_number", "line")
 
 
@@ -55,28 +59,32 @@ def q_gzip_scan(spark, sf):
 
 
 @register("line_number", """
-SELECT CAST(doc_id AS VARCHAR) AS batch_id, CAST(i AS BIGINT) AS line_number, length(line) AS line_length
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS BIGINT) AS line_number, length(line) AS line_length
+FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line,
              generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""")
 def q_line_number(spark, sf):
-    d = D.doc_plain_lines(spark, sf)
-    return d.select("batch_id", "line_number", F.length("line").cast("long").alias("line_length"))
+    """Numbers of files that are cut into ranges of 64 KB."""
+    lines = FS.line_scan(spark, write_doc_files(spark, sf), range_bytes=1 << 16)
+    return lines.select(F.regexp_extract("file_path", SOURCE, 1).alias("source"), "line_number", F.length("line").cast("long").alias("line_length"))
 
 
 @register("row_count_estimate", """
-SELECT CAST(doc_id AS VARCHAR) AS batch_id, CAST(octet_length(encode(text)) AS BIGINT) AS file_size,
-  CAST(len(string_split(text, chr(10))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS line_count,
-  CAST(len(string_split(text, chr(10))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END - 1 AS BIGINT) AS estimated_rows
-FROM documents""")
+WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line,
+             generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+n AS (SELECT source, line, row_number() OVER w AS line_number, octet_length(encode(line)) + 1 AS bytes FROM l WINDOW w AS (PARTITION BY source ORDER BY doc_id, i)),
+s AS (SELECT *, length(line) + 1 AS chars, coalesce(sum(length(line) + 1) FILTER (WHERE line_number > 1) OVER (
+        PARTITION BY source ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM n),
+f AS (SELECT source, CAST(sum(bytes) AS BIGINT) AS file_size, count(*) AS lines,
+        sum(chars) FILTER (WHERE line_number > 1 AND earlier < 1048576) AS chars, count(*) FILTER (WHERE line_number > 1 AND earlier < 1048576) AS taken
+      FROM s GROUP BY source)
+SELECT source, file_size, CASE WHEN file_size <= 1048576 THEN lines END AS line_count,
+  CAST(CASE WHEN file_size <= 1048576 THEN lines - 1 WHEN taken = 0 THEN 1
+       ELSE floor(file_size / (CAST(chars AS DOUBLE) / taken) + 0.5) - 1 END AS BIGINT) AS estimated_rows
+FROM f""")
 def q_row_count_estimate(spark, sf):
-    d = D.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("batch_id"), "text")
-    parts = d.select("batch_id", "text", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"),
-                     F.size(F.split("text", "\n", -1)).alias("_n"))
-    # a final empty piece is the line break ending the last line, not a line
-    lines = parts.where(~((F.col("pos") == F.col("_n") - 1) & (F.col("line") == ""))) \
-        .select("batch_id", (F.col("pos") + 1).alias("line_number"), "line")
-    sizes = d.select("batch_id", F.octet_length("text").cast("long").alias("file_size"))
-    return FS.row_count_estimate(lines, sizes, key="batch_id")
+    """The documents as one file per source; of a large file the first MiB is read."""
+    found = FS.file_row_estimates(FS.binary_files(spark, write_doc_files(spark, sf)))
+    return found.select(F.regexp_extract("file_path", SOURCE, 1).alias("source"), "file_size", "line_count", "estimated_rows")
 
 
 # --------------------------------------------------------------- folder gating
@@ -123,58 +131,56 @@ def q_stability(spark, sf):
 
 # --------------------------------------------------------------- streaming
 
-def _doc_stream(spark, sf):
-    docs = D.table(spark, sf, "documents")
-    return W.delivery_stream(spark, sf, fmt="parquet", schema=docs.schema, glob="documents.parquet")
-
-
-def _quality_batch(out_path):
-    rules_cache = {}
-
-    def process(batch, epoch):
-        spark = batch.sparkSession
-        if "r" not in rules_cache:
-            rules_cache["r"] = D.run_rules(spark)
-        pat = D.lang_pattern(F.col("lang"))
-        lines = batch.select(
-            F.col("doc_id").cast("string").alias("batch_id"), F.concat(pat, F.lit(D.OFFICE)).alias("file_name"),
-            pat.alias("file_pattern"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"),
-        ).select("batch_id", "file_name", "file_pattern", (F.col("pos") + 1).cast("long").alias("line_number"),
-                 F.replace(F.replace("raw", F.lit(" "), F.lit("\t")), F.lit("q"), F.lit("\u0001")).alias("line"))
-        v = V.validate_lines(V.rule_join(lines, rules_cache["r"]))
-        q = V.batch_quality(v)
-        W.append_to(out_path)(q, epoch)
-    return process
-
-
-@register("watch_stream", f"""WITH {O.base_ctes()}
-SELECT batch_id,
-  CAST(sum((n_control > 0)::INT + (n_non_latin > 0)::INT + (n_collapsed > 0)::INT + tab_fixed::INT) AS BIGINT) AS corrected_records,
-  CAST(sum((n_control > 0)::INT + (n_non_latin > 0)::INT + (n_collapsed > 0)::INT + tab_fixed::INT) AS INTEGER) AS warning_count,
-  CAST(sum((tab_issue IS NOT NULL AND NOT tab_fixed)::INT) AS INTEGER) AS error_count,
-  bool_or(tab_severity = 'CRITICAL') IS TRUE AS rejected
-FROM v GROUP BY batch_id""")
+ORDER_FILES = f"""{SCANNED},
+half AS (SELECT *, line_number % 2 AS delivery FROM lines),
+files AS (SELECT DISTINCT delivery, file_name FROM half),
+g AS (SELECT h.delivery, h.file_name, count(*) AS row_count, bool_or(len(t.violations) > 0) AS failed
+      FROM half h JOIN typed t USING (batch_id, line_number) GROUP BY ALL)"""
+
+
+def _upload(spark, sf, delivery, folder):
+    """The orders with even or odd keys as files of the same names, each with its marker."""
+    D.write_deliveries(D.orders_tsv(spark, sf).where(F.col("line_number") % 2 == delivery), folder)
+
+
+def _folders(spark, name):
+    base = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+    return f"{base}/upload", f"{base}/state"
+
+
+@register("watch_stream", f"""{ORDER_FILES}
+SELECT CAST(delivery AS BIGINT) AS epoch_id, file_name AS filename,
+  CASE WHEN starts_with(file_name, 'IM3') OR failed THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+  CAST(CASE WHEN starts_with(file_name, 'IM3') OR failed THEN 0 ELSE row_count END AS BIGINT) AS rows_loaded
+FROM files LEFT JOIN g USING (delivery, file_name)""")
 def q_watch_stream(spark, sf):
-    out = scratch_path(spark, f"watch/{uuid.uuid4().hex}")
-    W.run_stream(_doc_stream(spark, sf), _quality_batch(out), name=f"watch_{uuid.uuid4().hex[:8]}",
-                 checkpoint=out + "_ckpt")
-    return spark.read.parquet(out).drop("epoch_id")
+    """A watched folder in which all names are delivered twice, with other content."""
+    upload, state = _folders(spark, "watch")
+    for delivery in (0, 1):
+        _upload(spark, sf, delivery, upload)
+        W.watch_folder(spark, upload, rules_df(spark), state, max_files=1000, stability_delay=0.1)
+    return spark.read.parquet(f"{state}/results").select(F.col("epoch_id").cast("long").alias("epoch_id"), "filename", "status", "rows_loaded")
 
 
-@register("startup_backfill", """
-SELECT doc_id, lang, sha256(text) AS file_checksum FROM documents""")
+@register("startup_backfill", f"""{ORDER_FILES},
+n AS (SELECT count(*) AS files FROM files WHERE delivery = 0)
+SELECT CAST(e AS BIGINT) AS epoch_id, CAST(least(40, files - 40 * e) AS BIGINT) AS files FROM n, range(0, 1000) r(e) WHERE 40 * e < files""")
 def q_startup_backfill(spark, sf):
-    out = scratch_path(spark, f"backfill/{uuid.uuid4().hex}")
-    stream = _doc_stream(spark, sf).select("doc_id", "lang", F.sha2("text", 256).alias("file_checksum"))
-    W.run_stream(stream, W.append_to(out), name=f"backfill_{uuid.uuid4().hex[:8]}", checkpoint=out + "_ckpt")
-    return spark.read.parquet(out).drop("epoch_id")
+    """A backlog worked off in micro-batches of at most 40 deliveries."""
+    upload, state = _folders(spark, "backfill")
+    _upload(spark, sf, 0, upload)
+    W.watch_folder(spark, upload, rules_df(spark), state, max_files=40, stability_delay=0.1)
+    return spark.read.parquet(f"{state}/results").groupBy(F.col("epoch_id").cast("long").alias("epoch_id")).agg(F.count("*").alias("files"))
 
 
 @register("in_flight_guard", """
 SELECT DISTINCT sha256(text) AS file_checksum FROM documents""")
 def q_in_flight(spark, sf):
+    """The documents in four micro-batches; copies arrive within the horizon."""
     out = scratch_path(spark, f"guard/{uuid.uuid4().hex}")
-    stream = _doc_stream(spark, sf).select("doc_id", F.sha2("text", 256).alias("file_checksum"))
-    W.run_stream(W.guard_in_flight(stream), W.append_to(out), name=f"guard_{uuid.uuid4().hex[:8]}",
-                 checkpoint=out + "_ckpt")
-    return spark.read.parquet(out).select("file_checksum")
+    docs = D.table(spark, sf, "documents").select(F.sha2("text", 256).alias("file_checksum"),
+                                                  F.timestamp_seconds(F.pmod("doc_id", F.lit(3000))).alias("arrived_at"))
+    docs.repartition(4).write.parquet(f"{out}/in")
+    stream = W.delivery_stream(spark, f"{out}/in", fmt="parquet", schema="file_checksum string, arrived_at timestamp", max_files=1)
+    W.run_stream(W.guard_in_flight(stream), W.append_to(f"{out}/out"), name=f"guard_{uuid.uuid4().hex[:8]}", checkpoint=f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/out").select("file_checksum")
