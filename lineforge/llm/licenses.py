@@ -2,22 +2,25 @@
 
 Texts become lower-case words of letters and digits and their shingles of
 ``SHINGLE`` words.  Windows of ``WIDTH`` shingles, each half a window further,
-cover every document; template texts are cut the same way.  Each window has
+cover every document, the first one half before its start, so that every
+shingle lies in two; template texts are cut the same way from their start on.  Each window has
 ``BANDS`` MinHash values and each value is a band of its own: windows whose
 sets have Jaccard similarity J meet in a band with probability
 1 - (1 - J) ** BANDS.  A short template lies whole in one of a document's
 windows, and each full window of a longer one shares at least half of its
 shingles with some window of a copy.  So J is at least 1/3 for long templates,
 3/16 for one of three shingles and 1/16 for one of a single shingle, which
-lies in two windows: it is missed with probability 0.0003, the others with
-less than 0.000002.  Retrieved pairs are verified: the exact share of the
+lies in two windows wherever it stands: it is missed with probability 0.0003,
+the others with less than 0.000002.  Retrieved pairs are verified: the exact share of the
 template's shingles that lie in one stretch of the document, at most as long
 as the template and a window on either side, must reach ``MIN_SHARE``.
 
 Windows without any shingle of any template cannot meet one in a band, so
-only the others are signed; this leaves out no candidate.
+only the others are signed; this leaves out no candidate.  Templates'
+shingles are known by a bitmap of fixed size (a shingle that is taken for one
+of them costs a signature).
 
-A null text is empty and has no license.  Texts with fewer words than a
+A null text is empty and has no license; an empty table gives no rows.  Texts with fewer words than a
 shingle match nothing.  Rows with equal doc_id (null included) and text count
 as one document.  Of equal best places the first is reported.  Long texts are
 scanned whole.  Extra columns are dropped at once.
@@ -53,6 +56,8 @@ TEMPLATES = {
 }
 
 
+#: Leading bits of a hash in the bitmap of the templates' shingles (128 KB).
+KNOWN_BITS = 20
 #: Templates are a few hundred lines at most; beyond so many band rows they are joined by shuffle.
 BROADCAST_BANDS = 500_000
 
@@ -73,6 +78,26 @@ def bands(part: Column) -> Column:
         b, F.array_min(F.transform(part, lambda x: F.xxhash64(x, b)))))
 
 
+def covered(shingles: Column | str, k: Column) -> Column:
+    """The shingles of window ``k``; window -1 is the half that lies in the text."""
+    start = k * STEP
+    return F.slice(shingles, F.greatest(start, F.lit(0)) + 1, F.lit(WIDTH) + F.least(start, F.lit(0)))
+
+
+def known_bits(hashes: list[int]) -> Column:
+    """The bitmap as one array of 64-bit numbers."""
+    words = [0] * (1 << KNOWN_BITS - 6)
+    for x in hashes:
+        at = (x & (1 << 64) - 1) >> 64 - KNOWN_BITS
+        words[at >> 6] |= 1 << (at & 63)
+    return F.split(F.lit(",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)), ",").cast("array<bigint>")
+
+
+def may_be_known(x: Column, bits: Column) -> Column:
+    at = F.shiftrightunsigned(x, 64 - KNOWN_BITS)
+    return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def window_numbers(size: Column) -> Column:
     """0 to the last window that begins inside, the first one always."""
     return F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((size - 1 - STEP) / STEP).cast("int")))
@@ -88,7 +113,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_share: floa
     """doc_id, text_hash, license, share and place (word number) of every license found, at its best place."""
     spark = docs.sparkSession
     table = template_rows(spark, templates)
-    known = [r.x for r in table.select(F.explode("t").alias("x")).distinct().collect()]  # as many as the templates' words
+    known = known_bits([r.x for r in table.select(F.explode("t").alias("x")).distinct().collect()])  # as many as the templates' words
     longest = max((len(t.split()) for t in templates.values()), default=0)
     sought = small(table.select("license", "t", "n", F.explode(window_numbers(F.size("s"))).alias("k"), "s")
                    .select("license", "t", "n", F.explode(bands(F.slice("s", F.col("k") * STEP + 1, F.lit(WIDTH)))).alias("band")),
@@ -97,12 +122,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_share: floa
     keys = ["doc_id", "text_hash"]
     rows = shingled(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), keys)
     # places of shingles that some template has; most documents have none and end here
-    held = rows.select(*keys, "s", F.filter(F.transform("s", lambda x, i: F.when(x.isin(known), i)), lambda i: i.isNotNull()).alias("hits"))
+    held = rows.select(*keys, "s", F.filter(F.transform("s", lambda x, i: F.when(may_be_known(x, known), i)), lambda i: i.isNotNull()).alias("hits"))
     near = held.select(*keys, "s", F.explode_outer(F.array_distinct(F.flatten(F.transform("hits", lambda i: F.array(
-        F.greatest(F.lit(0), F.floor(i / STEP).cast("int") - 1), F.floor(i / STEP).cast("int")))))).alias("k")).where("k IS NOT NULL")
+        F.floor(i / STEP).cast("int") - 1, F.floor(i / STEP).cast("int")))))).alias("k")).where("k IS NOT NULL")
     start = F.greatest(F.lit(0), F.col("k") * STEP - longest)
     around = near.select(*keys, "k", start.alias("first"), F.slice("s", start + 1, F.lit(WIDTH + 2 * longest)).alias("part"),
-                         bands(F.slice("s", F.col("k") * STEP + 1, F.lit(WIDTH))).alias("bands"))
+                         bands(covered("s", F.col("k"))).alias("bands"))
     met = around.select(*keys, "k", "first", "part", F.explode_outer("bands").alias("band")).join(sought, "band")
     begin = F.greatest(F.lit(0), F.col("k") * STEP - F.col("n"))
     stretch = met.select(*keys, "license", "t", begin.alias("begin"),

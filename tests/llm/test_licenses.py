@@ -51,3 +51,13 @@ def test_given_documents(spark):
     got = found(spark, docs)
     want = {(d, n) for d, t in docs for n, x in L.TEMPLATES.items() if f" {' '.join(normal(x))} " in f" {' '.join(normal(t))} "}
     assert want <= set(got) and len(want) > 10
+
+
+def test_one_shingle_templates_at_the_start(spark):
+    """1,000 notices of three words, each the first, second .. eighth shingle of a text."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    templates = {f"n{i}": f"{word()} {word()} {word()}" for i in range(1000)}
+    docs = [(i, " ".join([*(word() for _ in range(i % 8)), templates[f"n{i}"], *(word() for _ in range(30))])) for i in range(1000)]
+    got = found(spark, docs, templates)
+    assert sum((i, f"n{i}") in got for i in range(1000)) >= 999 and all(f"n{d}" == n for d, n in got)
