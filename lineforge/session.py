@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +32,8 @@ DEFAULT_CONF = {
 
 # Scratch folders of local applications that name none.
 _LOCAL_FOLDERS: dict[str, str] = {}
+# Folders of the scratch scopes that are open, by application.
+_SCOPES: dict[str, list[str]] = {}
 
 
 def build_session(master: str | None = None, app: str = "lineforge",
@@ -75,4 +80,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+    base = checkpoint_dir(spark)
+    scopes = _SCOPES.get(spark.sparkContext.applicationId)
+    return os.path.join(scopes[-1] if scopes else base, name)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """What is written to scratch or checkpointed inside is deleted at the end.
+
+    Results must be written inside the scope: frames that still read scratch
+    tables are of no use after it.
+    """
+    sc, base = spark.sparkContext, checkpoint_dir(spark)
+    scopes = _SCOPES.setdefault(sc.applicationId, [])
+    folder, before = os.path.join(scopes[-1] if scopes else base, f"scope-{uuid.uuid4().hex}"), sc.getCheckpointDir()
+    scopes.append(folder)
+    sc.setCheckpointDir(folder)
+    try:
+        yield folder
+    finally:
+        scopes.pop()
+        sc.setCheckpointDir(scopes[-1] if scopes else base)  # Spark makes a new folder in it
+        to_path, conf = sc._jvm.org.apache.hadoop.fs.Path, sc._jsc.hadoopConfiguration()
+        to_path(folder).getFileSystem(conf).delete(to_path(folder), True)
+        old = to_path(before)
+        if not old.getFileSystem(conf).listStatus(old):
+            old.getFileSystem(conf).delete(old, False)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import store
 from ..operators.common import bounded_broadcast, cut_lineage
-from ..session import scratch_path
+from ..session import scratch_path, scratch_scope
 from ..sources import files as FS
 from .arrivals import Arrivals
 from .folders import marker_gate
@@ -139,6 +139,10 @@ class _Watch:
         return rows if rows is None or own is None else rows.join(own.select("batch_id"), "batch_id", "left_anti")
 
     def process(self, batch: DataFrame, epoch: int) -> None:
+        with scratch_scope(batch.sparkSession):  # a watch that runs for months leaves no scratch
+            self.load(batch, epoch)
+
+    def load(self, batch: DataFrame, epoch: int) -> None:
         from ..plans.archives import batch_id_of, ingest_archives
         from ..plans.ingest import ingest_files
 
