@@ -9,6 +9,8 @@ tasks as its splits -- nothing is grouped into one task.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,9 @@ RULE_FLAGS = (
 )
 
 
-def rules_df(spark: SparkSession, seeds=schemas.RULE_SEEDS, overrides: dict | None = None) -> DataFrame:
-    """The rule table from seed tuples, with optional per-pattern field overrides."""
+def rules_df(spark: SparkSession, seeds=schemas.RULE_SEEDS, overrides: dict | None = None, at: dt.datetime | None = None) -> DataFrame:
+    """The rule table from seed tuples, with optional per-pattern field overrides; created and updated ``at`` (now, in UTC)."""
+    at = at or dt.datetime.now(dt.UTC).replace(tzinfo=None)
     names = ("file_pattern", "table_name", "expected_tab_count", "validation_enabled",
              "auto_fix_enabled", "reject_on_violation", "replace_control_chars",
              "replace_non_latin_chars", "collapse_consecutive_replaced",
@@ -34,7 +37,7 @@ def rules_df(spark: SparkSession, seeds=schemas.RULE_SEEDS, overrides: dict | No
         rec.update((overrides or {}).get(rec["file_pattern"], {}))
         rows.append((i, rec["file_pattern"], rec["table_name"], rec["expected_tab_count"],
                      *[rec[f] for f in RULE_FLAGS], rec["transformer_class_name"],
-                     rec["description"], "system"))
+                     rec["description"], at, at, "system"))
     return spark.createDataFrame(rows, schemas.RULE_SCHEMA)
 
 

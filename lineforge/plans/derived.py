@@ -8,6 +8,8 @@ derivations in SQL), so every query's work grows with the tables.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +28,16 @@ RUN_OVERRIDES = {
 }
 
 
+# When the rules of the queries were made.
+SEEDED = dt.datetime(2024, 1, 1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def run_rules(spark: SparkSession) -> DataFrame:
-    return rules_df(spark, overrides=RUN_OVERRIDES)
+    return rules_df(spark, overrides=RUN_OVERRIDES, at=SEEDED)
 
 
 def lang_pattern(lang_col) -> F.Column:

@@ -169,6 +169,8 @@ RULE_SCHEMA = T.StructType([
     T.StructField("enable_data_transformation", T.BooleanType(), False),
     T.StructField("transformer_class_name", T.StringType(), True),
     T.StructField("description", T.StringType(), True),
+    T.StructField("created_at", T.TimestampNTZType(), True),
+    T.StructField("updated_at", T.TimestampNTZType(), True),
     T.StructField("created_by", T.StringType(), True),
 ])
 
