@@ -3,6 +3,11 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written and read again as the next one's ``docs``.  All but the last return
 the columns of ``documents``.
+
+In every stage a null text counts as an empty one, repeated rows are judged
+alike, very long texts are read whole, an empty table stays empty, and columns
+beyond those of ``documents`` pass through whatever their names, up to
+packing, whose rows have its own columns alone.
 """
 
 from __future__ import annotations
@@ -19,27 +24,27 @@ COPY_WORDS, COPY_PERCENT = 5, 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: rows that the classifier scores below 0.3 go."""
+    """Operator 10: rows that the classifier scores below 0.3 go; one of exactly 0.3 stays, an empty text is scored too."""
     return quality_classifier.keep_good(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each group of near copies the document of the least doc_id stays."""
+    """Operator 8: of each group of near copies the document of the least doc_id stays; texts without words link with nothing and stay."""
     return jaccard_join.one_of_each(docs, COPY_WORDS, COPY_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that hold a benchmark item go."""
+    """Operator 6: documents that hold a benchmark item go whole; a null or empty text holds none."""
     return decontamination.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: personal data is masked in the text."""
+    """Operator 1: personal data is masked in the text; a null text stays null."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: pieces of windows of 4096 tokens, with their ids."""
+    """Operator 3: pieces of windows of 4096 tokens, with their ids; a null or empty text is its end id alone."""
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 

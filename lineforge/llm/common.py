@@ -122,6 +122,17 @@ def with_text(df: DataFrame, rewrite: Callable[[str], str]) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores before them until no column of ``df`` has one."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def no_nulls(text: str | None) -> str:
     return "" if text is None else text
 

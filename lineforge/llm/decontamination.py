@@ -39,7 +39,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import free_names, small, written
 
 WINDOW, MIN_LITERAL, MIN_SHARE = 5, 3, 0.5
 #: So many matched words on end are a leak whatever the item's length.
@@ -265,6 +265,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows, all columns kept; the texts themselves are not shuffled where the flags are few."""
-    flagged = written(leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "flagged")
-    match = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
+    names = free_names(docs, "_id", "_hash")
+    flagged = written(leaks(docs, benchmark).select("doc_id", "text_hash").distinct().toDF(*names), "flagged")
+    match = docs["doc_id"].eqNullSafe(F.col(names[0])) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(names[1]))
     return docs.join(small(flagged, BROADCAST_FLAGGED), match, "left_anti")

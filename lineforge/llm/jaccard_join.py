@@ -24,7 +24,8 @@ A null text and one without words have an empty set and link with nothing; a
 text shorter than an n-gram is one n-gram.  Rows with equal sets link,
 repeated rows included; a null doc_id takes part but is never a component's
 name, unless all are null.  The least doc_id names a component, so ties do not
-arise.  Long texts are read whole.  Extra columns never reach the worker.
+arise.  Long texts are read whole.  Extra columns never reach the worker; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, no_nulls, pieces, small, to_arrow, written
+from .common import free_names, map_rows, no_nulls, pieces, small, to_arrow, written
 from .components import components
 
 WORDS, PERCENT = 4, 85
@@ -227,8 +228,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """
     found = written(linked(docs, words, percent).where("n_shingles > 0"), "components")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    names = ("_doc", "_hash")
-    same_row = docs["doc_id"].eqNullSafe(F.col("_doc")) & (text_hash(docs) == F.col("_hash"))
+    names = free_names(docs, "_doc", "_hash")
+    same_row = docs["doc_id"].eqNullSafe(F.col(names[0])) & (text_hash(docs) == F.col(names[1]))
     losers = found.where(~kept).select("doc_id", "text_hash").distinct().toDF(*names)
     out = docs.join(small(losers, BROADCAST_CLASSES), same_row, "left_anti")
     twice = found.where(kept).groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "text_hash").toDF(*names)

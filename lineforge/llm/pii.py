@@ -7,7 +7,9 @@ A null text has no spans, as an empty one; a null ``doc_id`` is carried
 along; repeated rows are scanned each on its own; very long texts are scanned
 whole in time linear in their length (every expression either starts at a
 fixed character or consumes the run on which it fails).  Columns other than
-those used never reach the Python worker, so clashing names do no harm.
+those used never reach the Python worker, so clashing names do no harm; an
+empty table gives no rows.  Spans of one place are ordered by start, then by
+kind as listed.
 """
 
 from __future__ import annotations

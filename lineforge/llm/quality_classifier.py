@@ -11,7 +11,8 @@ A null text is scored as an empty one; both have a score (the shapes of a
 text's edges are n-grams too).  Repeated rows get equal scores.  With labels
 of one class or none the score is the smoothed share of label 1.  Long texts
 are scored whole.  Extra columns never reach the worker, or pass through
-``keep_good`` unchanged.
+``keep_good`` unchanged; an empty table gives no rows.  Of several labels of a
+document the least counts; a score of exactly the limit is kept.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ A null text has no words, as an empty one, and fails the base rule.  Repeated
 rows are measured each on its own; ties between candidate thresholds go to
 the first feature in ``FEATURES`` and the lower threshold; without labelled
 rows of both classes the list is empty and keeps what passes the base rule.
-Long texts are measured whole, in memory in proportion to one text.
+Long texts are measured whole, in memory in proportion to one text.  An empty
+table gives no rows; extra columns never reach the worker.
 """
 
 from __future__ import annotations

@@ -24,7 +24,9 @@ A null text is empty; texts shorter than ``LENGTH`` lose nothing; matches
 never cross documents.  Rows with equal doc_id are one document and do not
 remove each other's text; a null doc_id has no place in the order, so its row
 neither loses bytes nor takes them from others.  Long and repetitive texts are
-treated whole.  Extra columns never reach the worker.
+treated whole.  Of equal strings in several documents the one with the
+smallest doc_id keeps them, so ties do not arise.  An empty table gives no
+rows.  Extra columns never reach the worker.
 """
 
 from __future__ import annotations

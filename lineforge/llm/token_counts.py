@@ -14,7 +14,8 @@ bytes.  Ties between equal scores go to fewer tokens.
 A null text counts as an empty one (no tokens); repeated rows are counted each
 on its own; long texts and long words are counted whole, in time linear in
 their length.  Each worker's trie is started anew past ``MAX_NODES`` nodes,
-which changes no result.  Extra columns never reach the worker.
+which changes no result.  Extra columns never reach the worker; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

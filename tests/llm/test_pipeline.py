@@ -64,3 +64,19 @@ def test_empty_documents(spark):
     for name, stage in P.STAGES:
         docs = P.written(stage(spark, docs, SF), f"none-{name}")
         assert docs.count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Nulls, empty, long and repeated texts, with extra columns named as the operators' own."""
+    labelled = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    texts = [(None, None), (9001, None), (9002, ""), (9003, " \n"), (9004, "word " * 30_000), (9005, "same text of a few words"), (9005, "same text of a few words")]
+    own = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars")
+    extra = ["h", "hash", "_id", "_hash", "item_id", "part", "ids", "score", "kind", "place", "component_id", "n", "before", "text_hash"]
+    docs = labelled.unionByName(own).selectExpr("*", *[f"concat('x', doc_id) AS {c}" for c in extra])
+    for name, stage in P.STAGES[:-1]:
+        was = {(r.doc_id, r.source): r for r in docs.collect()}
+        docs = P.written(stage(spark, docs, SF), f"extra-{name}")
+        assert docs.columns == COLUMNS + extra
+        for r in docs.collect():
+            assert all(r[c] == was[r.doc_id, r.source][c] for c in extra)
+    assert P.STAGES[-1][1](spark, docs, SF).count() > 0

@@ -90,3 +90,45 @@ def test_one_class_or_no_labels(spark, marks):
     kept = C.keep_good(docs, model, 0.0)
     assert kept.columns == docs.columns and kept.count() == 4
     assert C.scores(docs.limit(0), model).count() == 0
+
+
+def sample(seed, n=60):
+    rng = np.random.default_rng(seed)
+    texts = [np.unique(rng.integers(0, 40, rng.integers(3, 12))).astype(np.int32) * 7 for _ in range(n)]
+    good = np.array([(7 * 3 in x) ^ (rng.random() < 0.15) for x in texts])
+    return texts, good
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ratios_recomputed(seed):
+    texts, good = sample(seed)
+    r = C.ratios(texts, good)
+    count = {True: {}, False: {}}
+    for x, y in zip(texts, good):
+        for k in x.tolist():
+            count[bool(y)][k] = count[bool(y)].get(k, 0) + 1
+    total = {y: sum(count[y].values()) + C.SMOOTHING * C.BUCKETS for y in count}
+    for k in {0, 5, 7, 21, 40 * 7, *count[True], *count[False]}:
+        p, q = ((count[y].get(k, 0) + C.SMOOTHING) / total[y] for y in (True, False))
+        assert abs(r[k] - np.log(p / q)) < 1e-9
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_descent_reaches_the_least_loss(seed):
+    """The hinge-loss objective against projected gradient steps on the dual with a dense kernel."""
+    texts, good = sample(seed)
+    r = C.ratios(texts, good)
+    w, b = C.descend(texts, good, r)
+    y = np.where(good, 1.0, -1.0)
+    cost = C.COST * np.where(good, 0.5 / good.mean(), 0.5 / (1 - good.mean()))
+    x = np.zeros((len(texts), C.BUCKETS // 64))
+    for n, t in enumerate(texts):
+        x[n, t] = r[t] / np.sqrt((r[t] ** 2).sum())
+    kernel = (x @ x.T + 1) * np.outer(y, y)
+    alpha, step = np.zeros(len(y)), 1 / np.linalg.eigvalsh(kernel)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha + step * (1 - kernel @ alpha), 0, cost)
+    least = alpha.sum() - alpha @ kernel @ alpha / 2      # the dual's value bounds the objective from below
+    margin = y * (x @ w[:x.shape[1]] + b)
+    loss = (w @ w + b * b) / 2 + (cost * np.maximum(0, 1 - margin)).sum()
+    assert least * (1 - 1e-6) <= loss <= least * 1.01

@@ -93,3 +93,8 @@ def test_equal_strings_have_equal_anchors():
         for k in range(s, s + n):
             assert names.setdefault(data[k:k + 50], a) == a
     assert int(size.sum()) == len(data) - 49
+
+
+def test_empty_table_with_clashing_columns(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, anchor long, at int, size int, holder long, spans string")
+    assert S.dedup(empty).count() == 0
