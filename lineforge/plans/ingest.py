@@ -182,8 +182,12 @@ def _finish(f: DataFrame, outcome: DataFrame, rows: Callable[[DataFrame], dict[s
         done = store.committed_batches(spark, loaded_path)
         if done is not None:  # a run that was repeated after its commit loads nothing twice
             accepted = accepted.join(done, "batch_id", "left_anti")
-        staged = {name: L.with_load_time(df) for name, df in rows(bounded_broadcast(accepted)).items()}
-        store.load_tables(staged, loaded_path, run_id, seen)
+        routed = F.col("routed") if "routed" in f.columns else F.lit(True)
+        target = F.when(routed, F.col("table_name")).otherwise(F.lit(LOOSE)).alias("target")
+        accepted = cut_lineage(f.select("batch_id", target).join(accepted, "batch_id", "left_semi"), "ingest_accepted")
+        found = {r[0] for r in accepted.select("target").distinct().collect()}  # the registered names and one more
+        staged = rows(bounded_broadcast(accepted.select("batch_id")))
+        store.load_tables({name: L.with_load_time(df) for name, df in staged.items() if name in found}, loaded_path, run_id, seen, known=True)
 
     # ---- manifest rows for files that reached manifest creation (not duplicates)
     opened = M.open_manifest(f.where(F.col("reason").isNull() & ~F.col("already_processed"))
@@ -208,6 +212,8 @@ def _finish(f: DataFrame, outcome: DataFrame, rows: Callable[[DataFrame], dict[s
     return IngestResult(manifest=closed, results=results, issues=issues, loaded_path=loaded_path, cached=cached)
 
 
+#: The table of header CSV rows whose file routes to no registered table.
+LOOSE = "_csv"
 # Wording of header failures.
 NO_HEADER = "File is empty or has no header"
 REPEATED = "Repeated column in header: "
@@ -291,6 +297,6 @@ def ingest_csv(files: DataFrame, lines: DataFrame, rules: DataFrame, manifest: D
         out = {name: df.join(accepted, "batch_id", "left_semi").drop("violations", "line_number") for name, df in typed.items()}
         loose = data.where(~F.col("routed")).join(accepted, "batch_id", "left_semi").select(
             "batch_id", "table_name", "line_number", F.map_from_arrays("columns", "values").alias("row"))
-        return out | {"_csv": loose}
+        return out | {LOOSE: loose}
 
     return _finish(f, outcome, rows, issues, tables_path if write else None, write, run_id, (v,))
