@@ -6,8 +6,10 @@
    distinct fingerprints is split on the next leading bit of the key, and the
    directory doubles with it; a bucket that fits keeps its depth and is then
    named by several slots of the directory.
-3. Where a fingerprint occurs once the text is unique and never moves.  The
-   others' texts meet by bucket, key **and bytes**: Spark's aggregation
+3. Where a fingerprint occurs once the text is unique and does not move (a
+   bitmap of fixed size tells; beyond some hundred million repeated keys it
+   lets unique texts through, which costs their shuffle and changes nothing).
+   The others' texts meet by bucket, key **and bytes**: Spark's aggregation
    compares whole texts, after each task has merged its own copies, so a text
    that a third of all rows share sends one row per task.  Texts that differ
    under one key form the key's chain.
