@@ -122,6 +122,19 @@ def with_text(df: DataFrame, rewrite: Callable[[str], str]) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def trim_memory() -> None:
+    """Give back to the system what earlier tasks of this Python worker no longer use."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it has
+        pass
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names`` with underscores before them until no column of ``df`` has one."""
     taken, out = {c.lower() for c in df.columns}, []

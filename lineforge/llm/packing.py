@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_batch, no_nulls, pieces, small, to_arrow, written
+from .common import as_batch, no_nulls, pieces, small, to_arrow, trim_memory, written
 
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a worker remembers in each of two generations.
-MEMORY = 500_000
+MEMORY = 200_000
 #: Characters that are cut into words at once.
 STRETCH = 1 << 18
 #: Letters beyond ASCII whose lower case is one letter and that normal form C leaves alone (U+00C0 to U+017F without signs and U+0130).
@@ -77,7 +77,7 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = latin_cut(json.loads(self.tokenizer.to_str()))
+        self.cut = latin_cut(*(json.loads(x.__getstate__()) if x else {} for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)))
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.level = {ord(c): level.pre_tokenize_str(c)[0][0] for c in LATIN}
         self.parts = Parts(self.tokenizer.model.tokenize, self.level, {})
@@ -144,10 +144,10 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def latin_cut(spec: dict) -> re.Pattern | None:
+def latin_cut(normalizer: dict, pre_tokenizer: dict) -> re.Pattern | None:
     """The expression that cuts lower-case words, if the vocabulary file has NFC, lower case and one expression alone."""
-    normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    normal = [n["type"] for n in normalizer.get("normalizers", [])]
+    steps = pre_tokenizer.get("pretokenizers", [])
     if normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
         return None
     split, level = steps
@@ -166,6 +166,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     arrow, end = to_arrow(schema), np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_memory()
         ids_of, part, before = word_ids(path), TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
         size = 0

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, no_nulls, pieces, to_arrow, training_labels
+from .common import map_rows, no_nulls, pieces, to_arrow, training_labels, trim_memory
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
@@ -199,5 +199,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = GOOD) -> DataFrame:
         for batch in batches:
             keep = [shared.value.score(features(no_nulls(t), hashes)) >= least for t in pieces(batch.column(at))]
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns, schema=schema)
+        hashes.known.clear()
+        trim_memory()  # the worker lives on for the next stage
 
     return docs.mapInArrow(run, docs.schema)
