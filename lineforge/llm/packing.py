@@ -33,7 +33,7 @@ from .common import as_batch, no_nulls, pieces, small, to_arrow, trim_memory, wr
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a worker remembers in each of two generations.
-MEMORY = 200_000
+MEMORY = 450_000
 #: Characters that are cut into words at once.
 STRETCH = 1 << 18
 #: Letters beyond ASCII whose lower case is one letter and that normal form C leaves alone (U+00C0 to U+017F without signs and U+0130).
@@ -46,6 +46,10 @@ BLOCK = 1024
 BROADCAST_PARTITIONS = 1_000_000
 
 
+#: Packers of so many ids as little-endian unsigned 32-bit numbers.
+PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 class Parts(dict):
     """Ids of word parts as bytes; a part not met since the memory last filled up is tokenised anew."""
 
@@ -57,7 +61,8 @@ class Parts(dict):
         ids = self.older.get(part)
         if ids is None:
             tokens = self.tokenize(part if part.isascii() else part.translate(self.level))
-            ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            n = len(tokens)
+            ids = (PACK[n] if n < len(PACK) else struct.Struct(f"<{n}I").pack)(*[t.id for t in tokens])
         self[part] = ids
         return ids
 
