@@ -21,6 +21,8 @@ from lineforge.llm.common import read, written
 VOCABULARY = "word_bpe_49k.json"
 #: Near copies in the pipeline: five-word shingles, a similarity of 0.8 or more.
 COPY_WORDS, COPY_PERCENT = 5, 80
+#: Words that packing remembers: its Python workers serve the other stages too.
+PACKED_WORDS = 100_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: pieces of windows of 4096 tokens, with their ids; a null or empty text is its end id alone."""
-    return packing.pack(docs, public_tokenizers.path(VOCABULARY))
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY), memory=PACKED_WORDS)
 
 
 STAGES = [("quality_classifier", keep_good), ("jaccard_join", one_of_each), ("decontamination", decontaminate),

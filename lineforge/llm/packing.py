@@ -32,7 +32,7 @@ from .common import as_batch, no_nulls, pieces, small, to_arrow, trim_memory, wr
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a worker remembers in each of two generations.
+#: Words whose ids a worker remembers in each of two generations, about 160 bytes each, as long as it lives.
 MEMORY = 450_000
 #: Characters that are cut into words at once.
 STRETCH = 1 << 18
@@ -77,7 +77,8 @@ class WordIds:
     one chunk between blanks and line feeds.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory: int = MEMORY) -> None:
+        self.memory = memory
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -91,9 +92,9 @@ class WordIds:
 
     def of(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if len(self.parts) > MEMORY:
+        if len(self.parts) > self.memory:
             self.parts = Parts(self.parts.tokenize, self.level, dict(self.parts))
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             self.known, self.older = {}, self.known
         if not self.cut:
             return b"".join(self.whole(text.replace("\n", " ").split(" ")))
@@ -144,9 +145,9 @@ def other_chunks(text: str) -> Iterator[tuple[int, int]]:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, memory: int) -> WordIds:
     """One per Python worker: its memory serves all tasks that the worker runs."""
-    return WordIds(path)
+    return WordIds(path, memory)
 
 
 def latin_cut(normalizer: dict, pre_tokenizer: dict) -> re.Pattern | None:
@@ -164,7 +165,7 @@ def latin_cut(normalizer: dict, pre_tokenizer: dict) -> re.Pattern | None:
     return None if r"\p" in shape else re.compile(shape)
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, memory: int = MEMORY) -> DataFrame:
     """part, doc_id, before (ids before it in its part), n_ids, ids (little-endian 32 bit); written once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = T._parse_datatype_string(f"part long, doc_id {kind}, before long, n_ids long, ids binary")
@@ -172,7 +173,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim_memory()
-        ids_of, part, before = word_ids(path), TaskContext.get().partitionId(), 0
+        ids_of, part, before = word_ids(path, memory), TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
         size = 0
         for batch in batches:
@@ -203,12 +204,13 @@ def offsets(tokens: DataFrame) -> DataFrame:
         "part", "coalesce(in_block, 0) + coalesce(before_block, 0) AS base")
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, memory: int = MEMORY) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset, cut_before, cut_after.
 
-    ``path`` is a vocabulary file in the tokenizers format, readable on every executor.
+    ``path`` is a vocabulary file in the tokenizers format, readable on every
+    executor; ``memory`` words are remembered, which changes no result.
     """
-    tokens = tokenised(docs, path, end_id)
+    tokens = tokenised(docs, path, end_id, memory)
     placed = tokens.join(small(offsets(tokens), BROADCAST_PARTITIONS), "part").withColumn("at", F.expr("base + before"))
     first, last = f"(at div {window})", f"((at + n_ids - 1) div {window})"
     return (placed.selectExpr("doc_id", "n_ids AS doc_tokens", "at", "ids", f"""inline(transform(sequence({first}, {last}), s -> named_struct(
