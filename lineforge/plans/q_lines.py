@@ -250,11 +250,13 @@ def q_transform_audit(spark, sf):
 
 
 @register("first_line", f"""{LINES}
-SELECT batch_id, CAST(CASE WHEN line = '' THEN 0 ELSE length(line) - length(replace(line, chr(9), '')) + 1 END AS INTEGER) AS field_count
+SELECT batch_id, file_name, line AS first_line,
+       CAST(CASE WHEN line = '' THEN 0 ELSE length(line) - length(replace(line, chr(9), '')) + 1 END AS INTEGER) AS field_count
 FROM lines WHERE line_number = 1""")
 def q_first_line(spark, sf):
     from ..operators.load import first_line_fields
-    return first_line_fields(D.doc_lines(spark, sf))
+    lines = D.doc_lines(spark, sf).withColumn("first_line", F.col("line"))
+    return first_line_fields(lines, keep=("file_name", "first_line"))
 
 
 @register("issue_filter", f"""{BASE}, i AS ({O.issues_sql('v')})

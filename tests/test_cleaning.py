@@ -162,3 +162,19 @@ def test_rule_seeds_match_schema():
         # expected tabs = data columns - 1, except the first-N tables PM2 / PM3
         width = len(schemas.TABLES[table])
         assert seed[2] in (width - 1, width - 2)
+
+
+def test_first_line_keeps_its_columns(spark, tmpdir_path):
+    """The query gives file name and text of each first line, of rows that come twice too."""
+    import duckdb
+
+    from lineforge.plans import catalog
+
+    spark.createDataFrame([(1, "en", "a b c\nd"), (1, "fr", "x\ny z"), (2, "de", "\nq"), (3, None, "one q"), (4, "en", None), (None, "fr", "n m")],
+                          "doc_id long, lang string, text string").coalesce(1).write.parquet(f"{tmpdir_path}/documents.parquet")
+    got = catalog.QUERIES["first_line"](spark, tmpdir_path)
+    assert got.columns == ["batch_id", "file_name", "first_line", "field_count"]
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmpdir_path}/documents.parquet/*.parquet'")
+        want = con.execute(catalog.ORACLE["first_line"]).fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
