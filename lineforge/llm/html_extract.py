@@ -12,10 +12,12 @@ host (the first one with the page after it), leaving out its copies: of pages
 with equal lines on a host one is paired for all, and a page whose common lines
 hold ``COPY`` of the text of the shorter of the two is passed over for the
 nearest other one.  The pair's text lines are aligned by their longest common
-subsequence; undecided lines that both pages share are furniture too.  Lines inside a marked article stay even when shared:
-mirrored articles and quoted passages are text, not furniture.  A page that
-marks an article yields its lines; any other page its undecided lines that the
-nearest page does not share.
+subsequence; undecided lines that both pages share are furniture too.  A line
+inside a marked article is furniture when its page shares it with the nearest
+one and so do most different pages of the host, ``SEVERAL`` at least: a passage
+that some pages quote from others is text.  Nor is it when such lines hold half
+of the article or more: those pages tell one story in several versions.  A page
+that marks an article yields the article's other lines; any other page its undecided lines that the nearest page does not share.
 
 A null html is empty (no text); a null or broken url has the host "" and is
 paired among its like; a page alone on its host, or among copies of itself
@@ -50,6 +52,10 @@ BROADCAST_PAGES = 500_000
 COPY = 0.9
 #: An element named like furniture that holds this share of the page's text, or its only article, is none.
 WRAP = 0.8
+#: A line inside an article is furniture when so many different pages of a host, and this part of them, share it with their nearest ones ...
+SEVERAL, MOST = 5, 0.5
+#: ... and the article's other lines hold more than this share of its text.
+REST = 0.5
 #: Pages that are no copies of each other kept at hand, on either side of a partition's end.
 NEAR = 4
 #: Pages before which a host has copies of them only wait for a different one; more than this are settled in a second step.
@@ -436,7 +442,8 @@ def first_pair(a: tuple[list[int], list[int]], others: Iterable[tuple[list[int],
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """key and shared (line numbers, from 0) of the pages without a marked article that share lines with the page of the nearest url.
+    """key and shared (line numbers, from 0) of the pages that share lines with the page of the nearest url; of a page
+    with a marked article only the lines that most pages of its host share so.
 
     Of pages with equal outlines on a host the first is paired for all.  These
     are range-partitioned by host, path and page_id, so a host of any size
@@ -445,7 +452,8 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     the ``NEAR`` first and last different pages of the host's partitions.
     """
     order = ["host", "path", "page_id", "key"]
-    schema = T._parse_datatype_string("twin long, shared array<int>, part int, at int, host string, lines array<long>, sizes array<int>")
+    schema = T._parse_datatype_string("twin long, shared array<int>, part int, at int, host string, lines array<long>, sizes array<int>, "
+                                       "unmarked boolean, common array<long>")
     arrow = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,14 +468,13 @@ def shared_lines(pages: DataFrame) -> DataFrame:
             """What waits is settled, or left for the second step when the host reaches over a partition's end."""
             open_ = state["first"] or last or state["early"]
             for twin, page, unmarked in waiting:
-                if unmarked:
-                    # in one partition the second step is not needed: other pages only follow
-                    shared = None if open_ else first_pair(page, heads) or []
-                    out.append((twin, shared, part, 0, state["host"], *(page if open_ else (None, None))))
+                # in one partition the second step is not needed: other pages only follow
+                shared = None if open_ else first_pair(page, heads) or []
+                out.append((twin, shared, part, 0, state["host"], *(page if open_ else (None, None)), unmarked, [page[0][i] for i in shared or ()]))
             if open_:
                 # negative places: the first pages, positive ones: the last pages, in page order
-                out.extend((None, None, part, n - NEAR, state["host"], *page) for n, page in enumerate(heads))
-                out.extend((None, None, part, n + 1, state["host"], *page) for n, page in enumerate(reversed(recent)))
+                out.extend((None, None, part, n - NEAR, state["host"], *page, None, None) for n, page in enumerate(heads))
+                out.extend((None, None, part, n + 1, state["host"], *page, None, None) for n, page in enumerate(reversed(recent)))
             heads.clear(), recent.clear(), waiting.clear()
             state["early"] = False
 
@@ -481,14 +488,13 @@ def shared_lines(pages: DataFrame) -> DataFrame:
                 page = (lines, sizes)
                 found = first_pair(page, recent)
                 if found is None:
-                    if unmarked:
-                        waiting.append((twin, page, unmarked))
+                    waiting.append((twin, page, unmarked))
                     if len(waiting) >= WAITING:  # the second step pairs them with the host's first pages
                         state["early"] = True
-                        out.extend((twin_, None, part, 0, host, *page_) for twin_, page_, _ in waiting)
+                        out.extend((twin_, None, part, 0, host, *page_, unmarked_, None) for twin_, page_, unmarked_ in waiting)
                         waiting.clear()
-                elif unmarked:
-                    out.append((twin, found, part, 0, host, None, None))
+                else:
+                    out.append((twin, found, part, 0, host, None, None, unmarked, [lines[i] for i in found]))
                 recent[:] = [page, *(b for b in recent if pair(page, b) is not None)][:NEAR]
                 if len(heads) < NEAR and all(pair(page, b) is not None for b in heads):
                     heads.append(page)
@@ -509,22 +515,32 @@ def shared_lines(pages: DataFrame) -> DataFrame:
              .agg(F.sort_array(F.collect_list(F.struct("part", "at", "lines", "sizes"))).alias("edges")))
     open_ = settled.where("twin IS NOT NULL AND lines IS NOT NULL").join(edges, "host")
 
-    def late(twin, part, lines, sizes, edges):
+    def late(twin, part, lines, sizes, edges, host, unmarked):
         before = [(e["lines"], e["sizes"]) for e in reversed(edges) if e["part"] < part]
         after = [(e["lines"], e["sizes"]) for e in edges if e["part"] > part or e["part"] == part and e["at"] < 0]
-        yield twin, first_pair((lines, sizes), [*before, *after]) or []
+        shared = first_pair((lines, sizes), [*before, *after]) or []
+        yield twin, shared, host, unmarked, [lines[i] for i in shared]
 
-    done = settled.where("shared IS NOT NULL").select("twin", "shared").union(
-        map_rows(open_, ["twin", "part", "lines", "sizes", "edges"], "twin long, shared array<int>", late))
-    return every.where("unmarked").select("key", "twin").join(done.where("size(shared) > 0"), "twin").select("key", "shared")
+    done = settled.where("shared IS NOT NULL").select("twin", "shared", "host", "unmarked", "common").union(
+        map_rows(open_, ["twin", "part", "lines", "sizes", "edges", "host", "unmarked"],
+                 "twin long, shared array<int>, host string, unmarked boolean, common array<long>", late)).where("size(shared) > 0")
+    # inside an article the nearest page only proposes: most pages of the host must share the line so
+    each = done.select("twin", "host", "unmarked", F.explode(F.arrays_zip("shared", "common")).alias("at")).select("twin", "host", "unmarked", "at.*")
+    hosts = every.select("host", "twin").distinct().groupBy("host").agg(F.greatest(F.lit(SEVERAL), F.count("*") * MOST).alias("least"))
+    often = each.select("host", "common", "twin").distinct().groupBy("host", "common").count().join(hosts, "host").where("count >= least")
+    inside = (each.where("NOT unmarked").join(often, ["host", "common"], "left_semi")
+              .groupBy("twin").agg(F.array_sort(F.collect_list("shared")).alias("shared")))
+    return every.select("key", "twin").join(done.where("unmarked").select("twin", "shared").union(inside), "twin").select("key", "shared")
 
 
 def main_lines(html: str, shared: list[int] | None) -> list[str]:
-    """The article's lines, or where none is marked the undecided lines outside ``shared``."""
+    """The article's lines outside ``shared``, if they hold most of it; where none is marked the undecided lines outside it."""
     found = blocks(html)
-    if any(mark == ARTICLE for _, mark in found):
-        return [text for text, mark in found if mark == ARTICLE]
     gone = set(shared or ())
+    article = [text for text, mark in found if mark == ARTICLE]
+    if article:
+        rest = [text for n, (text, mark) in enumerate(found) if mark == ARTICLE and n not in gone]
+        return rest if sum(map(len, rest)) > REST * sum(map(len, article)) else article
     return [text for n, (text, mark) in enumerate(found) if mark == UNDECIDED and n not in gone]
 
 

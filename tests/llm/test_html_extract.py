@@ -189,3 +189,32 @@ def test_many_waiting_pages(spark, monkeypatch):
     source = X.shared_lines.__globals__
     monkeypatch.setitem(source, "WAITING", 7)   # closures in tasks take the value with them
     assert {r.page_id: r.text for r in X.extract(pages).collect()} == want
+
+
+def test_the_difference_decides_inside_articles(spark):
+    """What several pages repeat inside their articles goes; a quoted passage, a mirrored article and versions of a story stay."""
+    rows, want = [], {}
+    for n in range(9):
+        story = [f"a long paragraph {n} of its own, number {k}" for k in range(4)]
+        if n in (3, 4):
+            story.insert(2, "a passage that one page quotes from the other one")
+        lines = ["you are here: home", *story, "read more of our letters"]
+        for host, parts in (("a", lines), ("b", lines if n < 2 else lines[1:-1])):
+            page_id = n + 100 * (host == "b")
+            rows.append((page_id, f"https://{host}.example.com/en/{n}", f"<nav>menu</nav><article><p>{'</p><p>'.join(parts)}</p></article><footer>end</footer>"))
+            want[page_id] = story if host == "a" else parts   # two pages of b share the lines: too few to tell
+        rows.append((200 + n, f"https://c.example.com/en/{n}", "<article><p>the one story that all these pages tell</p><p>and its end</p>" + f"<p>version {n}</p></article>"))
+        want[200 + n] = ["the one story that all these pages tell", "and its end", f"version {n}"]
+    rows.append((50, "https://a.example.com/en/3?print=1", rows[9][2]))
+    want[50] = want[3]
+    assert rows[9][0] == 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = {r.page_id: r.text.split("\n") for r in X.extract(pages).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert got == want
