@@ -131,12 +131,9 @@ def ingest_files(files: DataFrame, lines: DataFrame, rules: DataFrame,
     tables = [r[0] for r in active.select("table_name").distinct().collect() if r[0] in schemas.TABLES]
     typed = _typed_by_table(t, tables)
     viol = L.line_violations(t, tables)
-    gate = L.load_gate(viol).join(
-        viol.where(F.size("violations") > 0).groupBy("batch_id").agg(
-            F.min(F.struct("line_number", F.array_join("violations", ", ").alias("v"))).alias("_first")),
-        "batch_id", "left")
-
-    outcome = quality.join(gate, "batch_id", "left")
+    # one row per batch: the pass over all lines ends here, and a bad batch's first bad line alone is looked at again
+    checked = cut_lineage(quality.join(L.load_gate(viol, line="line_number"), "batch_id", "left"), "ingest_checked")
+    outcome = checked.join(L.first_violations(t, tables, checked), "batch_id", "left")
     load_failed = F.coalesce(F.col("failed"), F.lit(False)) & ~F.col("rejected")
     outcome = outcome.select(
         "batch_id", "corrected_records", "warning_count", "error_count", "issue_count", "rejected",
