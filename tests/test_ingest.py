@@ -158,3 +158,28 @@ def test_ingest_csv_with_header(spark, tmpdir_path):
     assert len(rows) == 2
     assert rows[0].row == {"order id": "1001", "customer name": "Doe, John", "price": "1200.00"}
     assert rows[1].row == {"order id": "1002", "customer name": "Ann", "price": None}
+
+
+def test_archives_keep_children_and_lines_in_files(spark, tmpdir_path):
+    """The children are found once, lines are not held by executors, and the outcome is that of persisted lines."""
+    from lineforge.operators.common import kept
+    src = os.path.join(tmpdir_path, "zips")
+    os.makedirs(src)
+    with zipfile.ZipFile(os.path.join(src, "a.zip"), "w") as z:
+        for name, body in [("1/PM462", PM4_OK), ("2/PM462", PM4_BAD), ("IM362", IM3_OK), ("3/PM462", PM4_OK), ("PM9.csv", "a,b\n"), ("PM962.x", "x\n")]:
+            z.writestr(name, body)
+    res = ingest_archives(FS.binary_files(spark, src, glob="*.zip"), rules_df(spark), write=False)
+    assert res.children.cached == ()
+    assert "archive_children" in str(res.results.inputFiles()) and "archive_entries" not in str(res.results.inputFiles())
+    got = sorted((r.filename, r.status, r.rows_loaded) for r in res.results.collect())
+    assert got == [("IM362", "SUCCESS", 2), ("PM462", "DUPLICATE", 0), ("PM462", "FAILED", 0), ("PM462", "SUCCESS", 2), ("PM962.x", "FAILED", 0)]
+    plain = os.path.join(tmpdir_path, "plain")
+    for name, body in [("1/PM462", PM4_OK), ("2/PM462", PM4_BAD), ("IM362", IM3_OK), ("orders.csv", "a,b\n")]:
+        os.makedirs(os.path.dirname(os.path.join(plain, name)), exist_ok=True)
+        with open(os.path.join(plain, name), "w") as fh:
+            fh.write(body)
+    files, lines = _files_and_lines(spark, plain)
+    runs = [ingest_files(files, lines, rules_df(spark), write=False, keep=keep) for keep in (None, kept)]
+    rows = lambda df: sorted(map(str, df.drop("created_at", "updated_at", "started_at", "completed_at", "processing_duration_ms").collect()))
+    for of in ("manifest", "results", "issues"):
+        assert rows(getattr(runs[0], of)) == rows(getattr(runs[1], of)) != []
